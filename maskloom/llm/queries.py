@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding
+from pyspark.sql import functions as F
+
+from . import bpe, licenses, packing, quality, rtree, sharding, suffix
 from .common import documents
 
 
@@ -23,5 +25,24 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), whole=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe)}
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("matches")
+
+
+def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
+def op7_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _, _ = rtree.link(documents(spark, sf_dir), words=3, percent=90)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op5_bwt_dedup, op7_count_rtree_join, op9_decision_list)}
 ORACLE_SQL: dict[str, str] = {}
