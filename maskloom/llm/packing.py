@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-DEPTH, UNITS, GROUP_TOKENS, CACHE_WORDS = 3, 128, 8_000_000, 800_000
+DEPTH, UNITS, GROUP_TOKENS, CACHE_WORDS = 3, 128, 8_000_000, 1_500_000
 LETTER, DIGIT, BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 #: The vocabulary's published pre-token pattern for lower-case texts within Latin-1; other texts go to the library itself.
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{DIGIT}]|[^{BLANK}{LETTER}{DIGIT}]+")
@@ -69,8 +69,9 @@ class WordTokenizer:
         if len(self.number) > CACHE_WORDS:
             self.reset()
         found: list[list[str] | None] = []
+        places: list[list[int | None]] = []
         new: set[str] = set()
-        number = self.number
+        get = self.number.get
         for text in texts:
             try:
                 text.encode("latin-1")
@@ -79,9 +80,11 @@ class WordTokenizer:
                 plain = False
             words = LATIN.findall(text.lower()) if plain else None
             found.append(words)
-            if words:
-                new.update(words)
-        if new := new.difference(number):
+            at = list(map(get, words or ()))
+            places.append(at)
+            if None in at:
+                new.update(w for w, k in zip(words, at, strict=True) if k is None)
+        if new:
             self._learn(sorted(new))
         flat, start = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.start, np.int64)
         parts, counts = [], np.zeros(len(texts), np.int64)
@@ -90,7 +93,8 @@ class WordTokenizer:
             if words is None:
                 ids = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.int32)
             else:
-                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+                at = places[k]
+                at = np.array(list(map(get, words)) if None in at else at, np.int64)
                 first = start[at]
                 size = start[at + 1] - first
                 ends = np.cumsum(size)
@@ -102,6 +106,12 @@ class WordTokenizer:
         return joined, counts
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> WordTokenizer:
+    """One tokenizer for each vocabulary and Python process; tasks that share a process share its words."""
+    return WordTokenizer(path)
+
+
 @lru_cache(maxsize=4)
 def combinations(units: int, depth: int) -> tuple[tuple[int, ...], ...]:
     """All multisets of up to ``depth`` lengths from 1 to ``units`` whose sum is ``units``."""
@@ -204,7 +214,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 4096, end: int = 2, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, next_id = WordTokenizer(vocabulary), TaskContext.get().partitionId() << 33
+        words, next_id = tokenizer(vocabulary), TaskContext.get().partitionId() << 33
 
         def packed(ids: np.ndarray, names: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
             nonlocal next_id
