@@ -36,7 +36,7 @@ TEMPLATES = {
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "proprietary": ["all rights reserved no part may be reproduced without permission"],
 }
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

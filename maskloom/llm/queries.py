@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, packing, quality, rtree, sharding, suffix
+from . import bpe, language, licenses, media, packing, quality, rtree, secrets, sharding, suffix
 from .common import documents
 
 
@@ -33,16 +33,32 @@ def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
 
 
+def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(documents(spark, sf_dir))
+
+
 def op7_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, _ = rtree.link(documents(spark, sf_dir), words=3, percent=90)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.fit(docs.where(language.fold(F.col("doc_id")) != 0))
+    out = language.predict(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     rules = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.judge(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op5_bwt_dedup, op7_count_rtree_join, op9_decision_list)}
+def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return secrets.scan(docs, secrets.learn(docs)).drop("n_format")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op5_bwt_dedup, op6_media_sequences, op7_count_rtree_join, op8_language_spans, op9_decision_list, op10_secret_automata)}
 ORACLE_SQL: dict[str, str] = {}
