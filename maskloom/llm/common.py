@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 from typing import Any
@@ -68,9 +69,11 @@ class Scratch:
         return out
 
     def sweep(self) -> None:
-        """Let Spark's cleaner remove shuffle files of plans that ended."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Let Spark's cleaner remove shuffle files of plans that ended: once for Python's handles, once for what they held."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.4)
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, from_ipc, mix64, pack_blocks, packed, prepare, shuffle_partitions, texts_of, unpacked
 
-MATCH, GRAM, BLOCK_BYTES, STEP = 50, 24, 4_000_000, 1 << 15
+MATCH, GRAM, BLOCK_BYTES, STEP, TEXT = 50, 24, 4_000_000, 1 << 15, 100_000
 HALF = (MATCH - GRAM) // 2
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -288,6 +288,29 @@ def _contexts(buckets: int, id_col: str, text_col: str) -> Any:
     return run
 
 
+def _runs(data: np.ndarray, begin: np.ndarray, length: np.ndarray, least: np.ndarray, most: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of contexts that start in a smaller document too: the context's number, first window, windows, that document."""
+    # One text: each context, then a symbol that no text has.
+    symbols = np.zeros(int(length.sum()) + len(begin), np.int64)
+    place = np.cumsum(length + 1) - length - 1
+    symbols[_ranges(place, length)] = data[_ranges(begin, length)].astype(np.int64) + 1
+    there = np.bincount(symbols) > 0
+    suffixes, marked = equal_windows((np.cumsum(there) - 1)[symbols], MATCH)
+    windows = length - MATCH + 1
+    starts = _ranges(place, windows)
+    smallest = np.full(len(symbols), np.iinfo(np.int64).max)
+    smallest[starts] = np.repeat(least, windows)
+    group = np.cumsum(marked[:-1]) - 1
+    smallest[suffixes] = np.minimum.reduceat(smallest[suffixes], np.flatnonzero(marked[:-1]))[group]
+    found, context = smallest[starts], np.repeat(np.arange(len(begin)), windows)
+    hit = np.flatnonzero(found < most[context])
+    if not len(hit):
+        return (np.zeros(0, np.int64),) * 4
+    edges = np.flatnonzero(np.concatenate([[True], (np.diff(hit) != 1) | (context[hit[1:]] != context[hit[:-1]]) | (found[hit[1:]] != found[hit[:-1]])]))
+    own = context[hit[edges]]
+    return number[own], hit[edges] - (np.cumsum(windows) - windows)[own], np.diff(np.append(edges, len(hit))), found[hit[edges]]
+
+
 def _answers(table: pa.Table) -> pa.Table:
     """Of one bucket: windows of each block's contexts that also start in a smaller document, as runs."""
     n = table.column("n").to_pylist()
@@ -321,29 +344,17 @@ def _answers(table: pa.Table) -> pa.Table:
     skip = np.where(live[0, alive], 0, np.maximum(0, place[one] - HALF))
     length = np.where(live[1, alive], size[one], np.minimum(size[one], place[one] - HALF + MATCH)) - skip
     begin = begin[one] + skip
-    # One text: each distinct context, then a symbol that no text has.
-    symbols = np.zeros(int(length.sum()) + len(one), np.int64)
-    place = np.cumsum(length + 1) - length - 1
-    symbols[_ranges(place, length)] = data[_ranges(begin, length)].astype(np.int64) + 1
-    there = np.bincount(symbols) > 0
-    suffixes, marked = equal_windows((np.cumsum(there) - 1)[symbols], MATCH)
-    windows = length - MATCH + 1
-    starts = _ranges(place, windows)
-    nobody = np.iinfo(np.int64).max
-    smallest = np.full(len(symbols), nobody)
-    smallest[starts] = np.repeat(least, windows)
-    edge = np.flatnonzero(marked[:-1])
-    group = np.cumsum(marked[:-1]) - 1
-    smallest[suffixes] = np.minimum.reduceat(smallest[suffixes], edge)[group]
-    found, context = smallest[starts], np.repeat(np.arange(len(one)), windows)
-    hit = np.flatnonzero(found < most[context])
-    if not len(hit):
+    # Texts of about TEXT bytes, by minimizer: equal windows are in one text, and a text's arrays in the processor's cache.
+    grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[begin - skip + place[one]]).view("<u8").astype(np.uint64)
+    texts_ = _gram_hash(grams[:, 0], grams[:, 1], grams[:, 2]) % np.uint64(max(1, int(length.sum()) // TEXT))
+    by = np.argsort(texts_, kind="stable")
+    found = [_runs(data, begin[own], length[own], least[own], most[own], own) for own in np.split(by, _bounds(texts_[by])[1:])]
+    run_context, run_start, run_size, run_doc = (np.concatenate([f[k] for f in found]) for k in range(4))
+    if not len(run_context):
         return none
-    run = np.concatenate([[True], (np.diff(hit) != 1) | (context[hit[1:]] != context[hit[:-1]]) | (found[hit[1:]] != found[hit[:-1]])])
-    edges = np.flatnonzero(run)
-    run_size = np.diff(np.append(edges, len(hit)))
-    run_context, run_doc = context[hit[edges]], found[hit[edges]]
-    run_start = hit[edges] - (np.cumsum(windows) - windows)[run_context] + skip[run_context]
+    by = np.argsort(run_context, kind="stable")
+    run_context, run_start, run_size, run_doc = run_context[by], run_start[by], run_size[by], run_doc[by]
+    run_start = run_start + skip[run_context]
     run_first = np.searchsorted(run_context, np.arange(len(one)), "left")
     run_count = np.searchsorted(run_context, np.arange(len(one)), "right") - run_first
     rows, ends = [], np.cumsum(n)
