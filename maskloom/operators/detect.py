@@ -114,10 +114,10 @@ def entity_spans(text: Column, entities: Column) -> Column:
     parsed = F.from_json(entities, kind)
     good = F.forall(parsed, lambda e: e["label"].isNotNull() & e["start"].isNotNull() & e["end"].isNotNull())
     size = F.octet_length(text)
-    own = F.filter(F.when(good, parsed), lambda e: (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= size))
+    whole = lambda at: ~F.hex(F.substring(text.cast("binary"), at.cast("int") + 1, F.lit(1))).between("80", "BF")
+    own = F.filter(F.when(good, parsed), lambda e: (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= size) & whole(e["start"]) & whole(e["end"]))
     made = F.transform(own, lambda e: F.struct(e["label"].alias("entity_type"), e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), byte_slice(text, e["start"].cast("int"), e["end"].cast("int")).alias("value"), F.coalesce(e["confidence"], F.lit(1.0).cast("float")).alias("confidence"), F.lit("NER").alias("source")))
-    whole = F.filter(made, lambda s: (F.octet_length(s["value"]) == s["end"] - s["start"]) & ~s["value"].contains("�"))
-    return F.coalesce(whole, F.array().cast(NO_SPANS))
+    return F.coalesce(made, F.array().cast(NO_SPANS))
 
 
 def exploded(docs: DataFrame, own: Column) -> DataFrame:

@@ -1,7 +1,7 @@
 """Unmasking: exact replacement in order of substitute length, then fuzzy restoring of tokens.
 
-A reply meets only its session's pairs. The pairs of a session are one array; sessions too large for that stay out of one row
-with ``fuzzy_tokens``, which joins tokens and pairs by session under a bound on lengths.
+A reply meets only its session's pairs. The pairs of a session are one array, joined once; exact and fuzzy restoring then stay in
+the reply's row. For sessions too large for one row, ``fuzzy_tokens`` joins tokens and pairs as rows, under a bound on lengths.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ def session_pairs(reverse: DataFrame) -> DataFrame:
 
 def unmask_exact(replies: DataFrame, reverse: DataFrame) -> DataFrame:
     """``replies`` (reply_id, session_id, text) with ``exact``; a session without a vault leaves the text as it is."""
+    return with_exact(replies, reverse).drop("pairs")
+
+
+def with_exact(replies: DataFrame, reverse: DataFrame) -> DataFrame:
     joined = replies.join(session_pairs(reverse), "session_id", "left")
-    return joined.withColumn("exact", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(replace_all_folded(F.col("text"), F.col("pairs")))).drop("pairs")
+    return joined.withColumn("exact", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(replace_all_folded(F.col("text"), F.col("pairs"))))
 
 
 def threshold(sub: Column) -> Column:
@@ -42,9 +46,9 @@ def compatible(kind: Column, token: Column, sub: Column) -> Column:
     )
 
 
-def tokens(exact: DataFrame) -> DataFrame:
-    """reply_id, session_id, i, start and end in characters, token: maximal runs that may be damaged substitutes."""
-    gaps, found = F.split("exact", FUZZY_TOKEN, -1), F.regexp_extract_all("exact", F.lit(FUZZY_TOKEN), F.lit(0))
+def token_array(exact: Column) -> Column:
+    """array<struct<start, end, token>>, in characters: maximal runs that may be damaged substitutes."""
+    gaps, found = F.split(exact, FUZZY_TOKEN, -1), F.regexp_extract_all(exact, F.lit(FUZZY_TOKEN), F.lit(0))
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
     none = F.array().cast("array<struct<start: int, end: int, token: string>>")
 
@@ -53,8 +57,19 @@ def tokens(exact: DataFrame) -> DataFrame:
         b = a + F.length(x["m"])
         return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("end"), x["m"].alias("token"))).alias("out"))
 
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return exact.select("reply_id", "session_id", F.posexplode(placed).alias("i", "t")).select("reply_id", "session_id", "i", "t.*")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+
+
+def tokens(exact: DataFrame) -> DataFrame:
+    """reply_id, session_id, i, start, end, token as rows."""
+    return exact.select("reply_id", "session_id", F.posexplode(token_array(F.col("exact"))).alias("i", "t")).select("reply_id", "session_id", "i", "t.*")
+
+
+def best_pair(token: Column, pairs: Column) -> Column:
+    """The pair nearest to a token, longer substitutes first, or null; lengths are compared before the edit distance."""
+    near = F.filter(pairs, lambda p: (F.abs(F.octet_length(token) - F.octet_length(p["sub"])) <= threshold(p["sub"])) & compatible(p["kind"], token, p["sub"]))
+    rated = F.transform(near, lambda p: F.struct(F.levenshtein(token, p["sub"]).alias("d"), p["l"].alias("l"), p["sub"].alias("sub"), p["orig"].alias("orig")))
+    return F.array_min(F.filter(rated, lambda r: (r["d"] > 0) & (r["d"] <= threshold(r["sub"]))))
 
 
 def fuzzy_tokens(exact: DataFrame, reverse: DataFrame) -> DataFrame:
@@ -69,9 +84,10 @@ def fuzzy_tokens(exact: DataFrame, reverse: DataFrame) -> DataFrame:
 
 def unmask_fuzzy(replies: DataFrame, reverse: DataFrame) -> DataFrame:
     """reply_id, text, fuzzy_spans (UTF-16 offsets into the restored text, masked, revealed)."""
-    exact = unmask_exact(replies, reverse)
-    hits = fuzzy_tokens(exact, reverse).groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "masked", "revealed"))).alias("hits"))
-    out = exact.join(hits, "reply_id", "left")
+    out = with_exact(replies, reverse).withColumn("tokens", token_array(F.col("exact")))
+    rated = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), best_pair(t["token"], F.col("pairs")).alias("b")))
+    out = out.withColumn("rated", F.filter(rated, lambda h: h["b"].isNotNull()))
+    out = out.withColumn("hits", F.transform("rated", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["b"]["sub"].alias("masked"), h["b"]["orig"].alias("revealed"))))
     wide = lambda c: F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
     none = F.array().cast("array<struct<utf16_start: int, utf16_end: int, masked: string, revealed: string>>")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), none.alias("spans"))

@@ -210,7 +210,7 @@ def vault_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    masked = mask.mask_pipeline(prompts(spark, sf_dir), mock=False)
+    masked = mask.mask_pipeline(prompts(spark, sf_dir), mock=False).select("doc_id", "session_id", "spans", "masked").persist()  # replies and vault both read it
     typed = F.concat(F.substring("masked", 1, 11), F.lit("0"), F.expr("substr(masked, 13)"))
     return masked.select(F.col("doc_id").alias("reply_id"), "session_id", typed.alias("text")), mask.reverse_vault(mask.vault(masked))
 
