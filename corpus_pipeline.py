@@ -15,7 +15,10 @@ from maskloom.llm.common import Scratch
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which some language is found; those without a letter go."""
     model = language.fit(docs.where(language.fold(F.col("doc_id")) != 0))
-    return language.predict(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    names = ("_language", "_share")
+    while set(names) & {c.lower() for c in docs.columns}:
+        names = (names[0] + "_", names[1] + "_")
+    return language.predict(docs, model, names=names).where(F.col(names[0]) != "und").drop(*names)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

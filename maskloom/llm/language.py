@@ -14,6 +14,7 @@ a script that no language has are no evidence; without labelled texts everything
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -178,6 +179,8 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
         """Language and score of each text, and the languages of its words with their numbers of words."""
+        if not self.model.languages:
+            return ["und"] * len(texts), [0.0] * len(texts), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         if len(self.number) > CACHE_WORDS:
             self.number, self.table = {}, self.table[:0]
         found = [_words(t) if t else [] for t in texts]
@@ -190,23 +193,23 @@ class Labeller:
             base = len(self.number)
             self.number.update((w, base + k) for k, w in enumerate(new))
             at = [k for words in found for k in map(get, words)]
-        path = viterbi(self.table[np.array(at, np.int64)], counts) if self.model.languages else np.zeros(len(at), np.int64)
+        path = viterbi(self.table[np.array(at, np.int64)], counts)
         size = np.fromiter((len(w) for words in found for w in words), np.int64, len(at))
-        k = max(1, len(self.model.languages))
+        k = len(self.model.languages)
         text = np.repeat(np.arange(len(texts)), counts)
         letters = np.bincount(text * k + path, weights=size, minlength=len(texts) * k).reshape(-1, k)
         top, total = letters.argmax(axis=1), letters.sum(axis=1)
-        known = (total > 0) & bool(self.model.languages)
+        known = total > 0
         names = [self.model.languages[i] if ok else "und" for i, ok in zip(top.tolist(), known.tolist(), strict=True)]
         share = np.where(known, letters.max(axis=1) / np.maximum(total, 1), 0.0)
         return names, share.tolist(), path, counts
 
 
-_labellers: dict[int, Labeller] = {}
+_labellers: dict[str, Labeller] = {}
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: all), lang_pred, score and, if asked, spans (language, first word, words) of mixed texts."""
+def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` (default: all), lang_pred, score (or ``names``) and, if asked, spans (language, first word, words) of mixed texts."""
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -214,11 +217,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool =
     prepare(spark)
     shared = spark.sparkContext.broadcast((model.languages, model.log, model.allowed))  # BUCKETS x languages
     own = [F.col(c) for c in (docs.columns if keep is None else keep)]
-    source = docs.select(*own, F.col(text_col).cast("string").alias("_text"))
-    extra = "lang_pred string, score double" + ", spans array<struct<lang: string, first_word: int, n_words: int>>" * spans
+    source = docs.select(*own, F.col(text_col).cast("string").alias("_text of " + text_col))
+    extra = f"`{names[0]}` string, `{names[1]}` double" + ", spans array<struct<lang: string, first_word: int, n_words: int>>" * spans
     kind = T.StructType(source.schema.fields[:-1] + T.StructType.fromDDL(extra).fields)
     schema = to_arrow_schema(kind)
-    name = id(shared)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name not in _labellers:
@@ -228,8 +231,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool =
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)
-                names, share, path, counts = labeller.label(part.column(part.num_columns - 1).to_pylist())
-                made: list[Any] = [pa.array(names, pa.string()), pa.array(share, pa.float64())]
+                found, share, path, counts = labeller.label(part.column(part.num_columns - 1).to_pylist())
+                made: list[Any] = [pa.array(found, pa.string()), pa.array(share, pa.float64())]
                 if spans:
                     made.append(pa.array(_runs(path, counts, labeller.model.languages), schema.field("spans").type))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns[:-1], *made], schema, strict=True)], schema=schema)

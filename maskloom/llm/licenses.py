@@ -103,10 +103,30 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
     lasts = [F.col("n_words") - (_spaces(F.element_at(p, -1)) - 1) - n for p, n, _ in hits]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*(F.when(p.isNotNull(), F.lit(label)) for p, _, label in hits)))))
     total = sum((F.when(p.isNotNull(), F.size(p) - 1).otherwise(0) for p, _, _ in hits), F.lit(0))
-    doc = doc.withColumns({"n_base": total.cast("bigint"), "first_word": F.least(*firsts), "last_word": F.greatest(*lasts), "base": base})
+    doc = doc.withColumns({"n_base": total.cast("bigint"), "first_word": F.least(*firsts, F.lit(None).cast("bigint")), "last_word": F.greatest(*lasts, F.lit(None).cast("bigint")), "base": base})
     return doc.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.transform("matches", lambda x: x["label"]))), ",").alias("labels"),
         F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda x: x["score"])), F.lit(0.0))).alias("score"), "matches",
     )
 
+
+
+def oracle_sql(templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> str:
+    """The rows of ``scan`` without ``matches``, in DuckDB, by counting every template in every line."""
+    words = lambda c: f"list_filter(string_split_regex({c}, '{SEPARATORS}'), lambda x: x <> '')"
+    text = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
+    places = ", ".join(f"list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + {len(p.split())}] = {text(p.split())}) AS p{k}" for k, p in enumerate(phrases))
+    shares = []
+    for label, ts in templates.items():
+        for t in ts:
+            own = sorted(set(t.split()))
+            shares.append(f"{{'label': '{label}', 'score': list_max(list_transform(ls, lambda s: len(list_intersect(s, {text(own)})))) / {float(len(own))}, 'need': {math.ceil(threshold * len(own) - 1e-9)} / {float(len(own))}}}")
+    base = "list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(phrases.values())) + "], lambda x: x IS NOT NULL)"
+    every = ", ".join(f"p{k}" for k in range(len(phrases)))
+    return f"""SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
+        array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(base, list_transform(found, lambda m: m.label)))), ',') AS labels,
+        CASE WHEN len(base) > 0 THEN 1.0E0 ELSE coalesce(list_max(list_transform(found, lambda m: m.score)), 0.0E0) END AS score
+        FROM (SELECT doc_id, ws, list_concat({every}) AS places, {base} AS base, list_filter([{', '.join(shares)}], lambda m: m.score >= m.need) AS found
+        FROM (SELECT doc_id, ws, {places}, list_transform(string_split(low, chr(10)), lambda l: list_distinct({words('l')})) AS ls
+        FROM (SELECT doc_id, low, {words('low')} AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents))))"""
