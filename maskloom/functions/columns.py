@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,11 +48,32 @@ def valid(c: Column, check: str) -> Column:
     return luhn(c) if check == "luhn" else verhoeff(c) if check == "verhoeff" else F.lit(True)
 
 
+#: Elements that one fold appends; appending copies, so folds over many elements go block by block.
+BLOCK = 64
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often the body names it, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(own: Column, none: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Fold an array with the state struct<at: int, out: array>, block by block; ``step`` returns the next state."""
+    last = F.floor((F.size(own) - 1) / BLOCK).cast("int")
+    blocks = lambda p: F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(p, k * BLOCK + 1, F.lit(BLOCK)))
+
+    def whole(acc: Column, block: Column) -> Column:
+        inner = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+        return bound(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], i["out"]).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+    return F.when(F.size(own) > 0, F.aggregate(blocks(own), start, whole, lambda acc: acc["out"])).otherwise(none)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches with UTF-8 byte offsets: array<struct<start, end, value>>. The pattern must not match the empty string."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.octet_length(x["gap"])
@@ -58,7 +81,7 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
 
     pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    return F.when(text.rlike(pattern), bound(pairs, lambda p: running(p, empty, step))).otherwise(empty)
 
 
 def byte_slice(text: Column, start: Column, end: Column) -> Column:

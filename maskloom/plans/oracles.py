@@ -84,17 +84,17 @@ def merged(src: str) -> str:
         FROM (SELECT doc_id, entity_type, "start", "end", source, min(value) AS value FROM ({src}) WHERE "start" < "end" GROUP BY ALL)))) WHERE k = 1"""
 
 
-def substituted(chosen: str) -> str:
-    """doc_id, session_id, start, end, entity_type, original, sub of merged spans of the prompts."""
-    kind = normalized("CASE entity_type WHEN 'PERSON' THEN 'NAME' ELSE entity_type END")
+def substituted(chosen: str, src: str = PROMPTS, kind: str = "CASE entity_type WHEN 'PERSON' THEN 'NAME' ELSE entity_type END") -> str:
+    """doc_id, session_id, start, end, entity_type, original, sub of chosen spans."""
+    kind = normalized(f"({kind})")
     return f"""SELECT doc_id, session_id, "start", "end", k AS entity_type, o AS original, {substitute('k', 'o', 'h', day_offset('session_id', Duck), Duck)} AS sub FROM (
-        SELECT *, {digest('session_id', 'k', 'o', Duck)} AS h FROM (SELECT m.doc_id, session_id, "start", "end", {kind} AS k, value AS o FROM ({chosen}) m JOIN ({PROMPTS}) p ON m.doc_id = p.doc_id))"""
+        SELECT *, {digest('session_id', 'k', 'o', Duck)} AS h FROM (SELECT m.doc_id, session_id, "start", "end", {kind} AS k, value AS o FROM ({chosen}) m JOIN ({src}) p ON m.doc_id = p.doc_id))"""
 
 
-def stitched(subs: str) -> str:
-    """doc_id, session_id, text, masked of the prompts, which are ASCII."""
-    return f"""SELECT doc_id, any_value(session_id) AS session_id, any_value(text) AS text, string_agg(substr(text, b + 1, "start" - b) || sub, '' ORDER BY "start") || substr(any_value(text), max("end") + 1) AS masked FROM (
-        SELECT s.*, text, coalesce(lag("end") OVER (PARTITION BY s.doc_id ORDER BY "start"), 0) AS b FROM ({subs}) s JOIN ({PROMPTS}) p ON s.doc_id = p.doc_id) GROUP BY doc_id"""
+def stitched(subs: str, src: str = PROMPTS) -> str:
+    """doc_id, session_id, text, masked, n_spans; offsets are characters, which in the prompts are bytes."""
+    return f"""SELECT doc_id, any_value(session_id) AS session_id, any_value(text) AS text, string_agg(substr(text, b + 1, "start" - b) || sub, '' ORDER BY "start") || substr(any_value(text), max("end") + 1) AS masked, CAST(count(*) AS INT) AS n_spans FROM (
+        SELECT s.*, text, coalesce(lag("end") OVER (PARTITION BY s.doc_id ORDER BY "start"), 0) AS b FROM ({subs}) s JOIN ({src}) p ON s.doc_id = p.doc_id) GROUP BY doc_id"""
 
 
 def pipeline(*extra: str, with_mock: bool = True) -> str:
@@ -173,6 +173,36 @@ def _scan(e: str) -> str:
     return detected(src, (e,))
 
 
+def greedy() -> str:
+    """Valid, not nested spans of the prompts, taken from right to left."""
+    order = "CASE entity_type " + " ".join(f"WHEN '{e}' THEN {k}" for k, e in enumerate(DETECTORS)) + " END"
+    return f"""WITH RECURSIVE v AS (SELECT * FROM ({detected(PROMPTS)}) WHERE is_valid),
+        s AS MATERIALIZED (SELECT a.*, t.size, row_number() OVER (PARTITION BY a.doc_id ORDER BY "start" DESC, {order} DESC) AS k FROM v a JOIN (SELECT doc_id, strlen(text) AS size FROM ({PROMPTS})) t ON a.doc_id = t.doc_id
+            WHERE NOT EXISTS (SELECT 1 FROM v b WHERE a.doc_id = b.doc_id AND b."start" <= a."start" AND a."end" <= b."end" AND (b."start" < a."start" OR a."end" < b."end"))),
+        g AS (SELECT doc_id, k, "end" <= size AS ok, CASE WHEN "end" <= size THEN "start" ELSE size END AS edge FROM s WHERE k = 1
+            UNION ALL SELECT s.doc_id, s.k, s."end" <= g.edge, CASE WHEN s."end" <= g.edge THEN s."start" ELSE g.edge END FROM g JOIN s ON s.doc_id = g.doc_id AND s.k = g.k + 1)
+        SELECT s.doc_id, entity_type, "start", "end", value FROM s JOIN g ON s.doc_id = g.doc_id AND s.k = g.k WHERE ok"""
+
+
+def tier4() -> str:
+    c = f"SELECT doc_id AS d, \"start\" AS base, doc_id * 100000 + start_token AS doc_id, text FROM ({chunked(512, 64)})"
+    own = f"{regex_spans(c)} UNION ALL {spans(c, dictionary(KEYWORDS), 'KEYWORD', 'Keyword', 1.0)}"
+    rows = f"""SELECT d AS doc_id, entity_type, CAST("start" + base AS INT) AS "start", CAST("end" + base AS INT) AS "end", value, source FROM ({own}) s JOIN ({c}) c ON s.doc_id = c.doc_id"""
+    return f"SELECT *, CAST(NULL AS STRING) AS error FROM ({merged(rows)})"
+
+
+def bio(a: str, b: str, c: str) -> str:
+    """doc_id, kind, s, e of the entities of three tags."""
+    names = "[" + ", ".join(f"'{x}'" for x in dataset.MONEY_LABELS) + "]"
+    return f"""SELECT doc_id, k, min(i) AS s, max(i) AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
+        SELECT doc_id, i, t[1] AS p, substr(t, 3) AS k, CASE WHEN t[1] = 'O' THEN 0 WHEN t[1] = 'B' OR coalesce(lag(substr(t, 3)) OVER (PARTITION BY doc_id ORDER BY i), '') <> substr(t, 3) THEN 1 ELSE 0 END AS fresh
+        FROM (SELECT doc_id, unnest([0, 1, 2]) AS i, {names}[unnest([{a}, {b}, {c}]) + 1] AS t FROM ({TAG_ROWS})))) WHERE p <> 'O' GROUP BY doc_id, g, k"""
+
+
+#: For masked documents: character offsets, and one character for each letter beyond ASCII.
+CHAR_DOCUMENTS = "SELECT doc_id, doc_id % 100 AS session_id, coalesce(text, '') AS text FROM documents"
+CHAR_SPANS = f"{regex_spans(DOCUMENTS)} UNION ALL {mock(WIDE.replace(repr('__'), repr('_')))}".replace("strlen(", "length(")
+
 NO_MOCK = pipeline(with_mock=False)
 VAULT = reverse(vault(NO_MOCK))
 EXACT = f"""SELECT r.reply_id, r.session_id, coalesce(list_reduce(list_prepend({{'s': '', 'o': r.text}}, pairs), lambda a, p: {{'s': '', 'o': replace(a.o, p.s, p.o)}}).o, r.text) AS exact FROM ({REPLIES.format(stitched(NO_MOCK))}) r LEFT JOIN (
@@ -242,4 +272,21 @@ ORACLE_SQL |= {
     f"generate_{f.lower()}": f"SELECT original, {family('' if f == 'GENERIC' else f, 'original', 'h', day_offset('7', Duck), Duck)} AS substitute FROM (SELECT original, {digest('7', repr(f), 'original', Duck)} AS h FROM ({src}))"
     for f, src in SAMPLES.items()
 }
+TOKEN_RUN = "[A-Za-z0-9@._+-]{3,}"
+BEST = f"""SELECT reply_id, i, original FROM (SELECT *, row_number() OVER (PARTITION BY reply_id, i ORDER BY d, strlen(substitute) DESC, substitute) AS k FROM (
+    SELECT *, levenshtein(token, substitute) AS d, greatest(strlen(substitute) // 8, 2) AS most FROM (SELECT reply_id, session_id, unnest(regexp_extract_all(exact, '{TOKEN_RUN}')) AS token, generate_subscripts(regexp_extract_all(exact, '{TOKEN_RUN}'), 1) AS i FROM exact) t JOIN pairs v USING (session_id) WHERE {_compatible()})
+    WHERE abs(strlen(token) - strlen(substitute)) <= most AND d > 0 AND d <= most) WHERE k = 1"""
+ORACLE_SQL |= {
+    "scan_text_all": detected(DOCUMENTS),
+    "greedy_spans": greedy(),
+    "mask_text_greedy": f"SELECT doc_id, masked FROM ({stitched(substituted(greedy(), kind='entity_type'))})",
+    "mask_summary_documents": ORACLE_SQL["mask_summary"].replace(PROMPTS, DOCUMENTS).replace(mock(DOCUMENTS), mock(WIDE)),
+    "mask_documents": f"SELECT d.doc_id, coalesce(masked, d.text) AS masked, coalesce(n_spans, 0) AS n_spans FROM ({CHAR_DOCUMENTS}) d LEFT JOIN ({stitched(substituted(merged(CHAR_SPANS), CHAR_DOCUMENTS), CHAR_DOCUMENTS)}) m ON d.doc_id = m.doc_id",
+    "tier4_detect": tier4(),
+    "seqeval_f1": f"""WITH p AS ({bio('a', 'b', 'c')}), t AS ({bio('a', 'b', '(c % 5)')}), n AS (SELECT (SELECT count(*) FROM p JOIN t USING (doc_id, k, s, e)) AS hit, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt)
+        SELECT hit / np AS precision, hit / nt AS recall, 2.0E0 * hit / (np + nt) AS f1 FROM n""",
+    "unmask_fuzzy": f"""WITH exact AS MATERIALIZED ({EXACT}), pairs AS MATERIALIZED ({VAULT}), best AS ({BEST}),
+        parts AS (SELECT reply_id, g, m, unnest(range(1, len(g) + 1)) AS i FROM (SELECT reply_id, string_split_regex(exact, '{TOKEN_RUN}') AS g, regexp_extract_all(exact, '{TOKEN_RUN}') AS m FROM exact))
+        SELECT reply_id, string_agg(g[p.i] || coalesce(b.original, m[p.i], ''), '' ORDER BY p.i) AS text, CAST(count(b.i) AS INT) AS n_spans FROM parts p LEFT JOIN best b USING (reply_id, i) GROUP BY reply_id""",
+}
 assert set(FAMILIES) <= set(SAMPLES)
