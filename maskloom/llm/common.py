@@ -95,6 +95,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+MULTIPLIER = 0x9E3779B97F4A7C15
+INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def range_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges: equal for equal bytes, wherever they lie and whatever lies around them."""
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_CODE[data] * _powers(MULTIPLIER, len(data)), out=total[1:], dtype=np.uint64)
+    return mix64((total[end] - total[first]) * _powers(INVERSE, len(data) + 1)[first] + (end - first).astype(np.uint64))
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes joined, and each text's start (one more for the end); null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

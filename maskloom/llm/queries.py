@@ -38,7 +38,7 @@ def op6_media_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_count_rtree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _, _ = rtree.link(documents(spark, sf_dir), words=3, percent=90)
+    rows, _, _ = rtree.link(documents(spark, sf_dir).select("doc_id", "text"), words=3, percent=90)
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
@@ -46,7 +46,7 @@ def op8_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.fit(docs.where(language.fold(F.col("doc_id")) != 0))
     out = language.predict(docs, model, keep=["doc_id"])
-    return out.select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(language.fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op9_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +61,4 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op5_bwt_dedup, op6_media_sequences, op7_count_rtree_join, op8_language_spans, op9_decision_list, op10_secret_automata)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": licenses.oracle_sql(), "op7_count_rtree_join": rtree.oracle_sql()}

@@ -33,11 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, from_ipc, mix64, pack_blocks, packed, prepare, shuffle_partitions, texts_of, unpacked
+from .common import Scratch, from_ipc, mix64, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
 
 BLOCK_BYTES, GROUPS, FANOUT, PIVOTS, UNIT, FILE = 4_000_000, 32, 16, 16, 4_000_000, 20_000
 WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
-BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -54,13 +53,7 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.n
     stop = np.flatnonzero(~blank & (edge[1:] | np.concatenate([blank[1:], [True]]))) + 1
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    power = np.full(len(data) + 1, WORD_BASE)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[LOWER[data]] * power[:-1], out=total[1:], dtype=np.uint64)
-    word = mix64((total[stop] - total[begin]) * power[len(data) - begin] + (stop - begin).astype(np.uint64))
-    del power, total
+    word = range_hashes(LOWER[data], begin, stop)
     first = np.searchsorted(begin, starts, "left")
     count = np.diff(first)
     out, sizes = [], np.zeros(n, np.int64)
@@ -476,3 +469,14 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
                     yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, schema, strict=True)], schema=schema)
 
     return blocks.join(kept.groupBy("block_id").agg(F.collect_list("row").alias("rows")), "block_id").mapInArrow(take, docs.schema)
+
+
+def oracle_sql(words: int = 3, percent: int = 90) -> str:
+    """The rows of op7 in DuckDB: all pairs that share a shingle are counted, then components by reachability."""
+    shingle = f"list_transform(range(1, greatest(len(ws) - {words} + 2, 2)), lambda i: array_to_string(ws[i:i + {words - 1}], chr(1)))"
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        n AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct({shingle}) END AS s FROM w),
+        t AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM n),
+        links AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (any_value(a.n) + any_value(b.n) - count(*))),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT n.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(n.doc_id, coalesce(m.b, n.doc_id)) AS component_id FROM n LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY a) m ON n.doc_id = m.a"""

@@ -33,12 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, from_ipc, mix64, pack_blocks, packed, prepare, shuffle_partitions, texts_of, unpacked
+from .common import MULTIPLIER, Scratch, from_ipc, mix64, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
 
 MATCH, GRAM, BLOCK_BYTES, STEP, TEXT = 50, 24, 4_000_000, 1 << 15, 100_000
 HALF = (MATCH - GRAM) // 2
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 WORDS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -88,20 +86,10 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     place = where[first]
     grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[place]).view("<u8").astype(np.uint64)
     # Minimizers have small hashes; mixed once more, they spread over buckets.
-    key = mix64(_gram_hash(grams[:, 0], grams[:, 1], grams[:, 2]) + MULTIPLIER) if len(grams) else none.astype(np.uint64)
+    key = mix64(_gram_hash(grams[:, 0], grams[:, 1], grams[:, 2]) + np.uint64(MULTIPLIER)) if len(grams) else none.astype(np.uint64)
     return key, first, last, place
 
 
-def range_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges, equal for equal bytes wherever they lie."""
-    power = np.full(len(data) + 1, MULTIPLIER)
-    power[0] = 1
-    power = np.cumprod(power, dtype=np.uint64)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * power[:-1], out=total[1:], dtype=np.uint64)
-    return mix64((total[end] - total[first]) * power[len(data) - first] + (end - first).astype(np.uint64))
-
-
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """All numbers of the ranges that start at ``first``, one after the other."""
     ends = np.cumsum(size, dtype=first.dtype)
@@ -414,7 +402,9 @@ def _removed(id_col: str, text_col: str, names: list[str], schema: pa.Schema) ->
                     import pyarrow.compute as pc
 
                     made["kept_text"] = pc.if_else(pc.is_valid(table.column(text_col).combine_chunks()), made["kept_text"], pa.scalar(None, pa.string()))
-                columns = [made[x] if x in made else made["kept_text"] if x == text_col else table.column(x).combine_chunks() for x in schema.names] if "kept_text" in names else [made[x] if x in made else table.column(x).combine_chunks() for x in schema.names]
+                if "kept_text" in names:  # the rows as they were but for the text
+                    made = {text_col: made["kept_text"]}
+                columns = [made[x] if x in made else table.column(x).combine_chunks() for x in schema.names]
                 columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
