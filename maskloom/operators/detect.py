@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from typing import Any, Protocol
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,21 +65,21 @@ def mock_spans(text: Column) -> Column:
 
 def rule_spans(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
     """User rules (pattern, type); rules outside the dialect are skipped, rules that may match nothing go through an Arrow UDF."""
-    import re
-
     out = [F.array().cast(NO_SPANS)]
     for pattern, kind in rules:
         if usable_rule(pattern):
-            out.append(_careful(pattern, kind)(text) if re.compile(pattern).match("") or re.search(pattern, " a") and re.search(pattern, " a").end() == re.search(pattern, " a").start() else spans(text, java(pattern), kind, "UserRule", 1.0))
+            out.append(_careful(pattern, kind)(text) if may_match_nothing(pattern) else spans(text, java(pattern), kind, "UserRule", 1.0))
     return F.concat(*out)
 
 
-def _careful(pattern: str, kind: str) -> Any:
-    """Spans of a pattern that can match the empty string; empty matches are dropped."""
-    import re
+def may_match_nothing(pattern: str) -> bool:
+    """Whether a pattern matches without a character, in an empty text or at a word's edge."""
+    rule = re.compile(pattern)
+    return any(m.end() == m.start() for t in ("", " a ", " 1 ", "\n") for m in rule.finditer(t))
 
-    import pandas as pd
 
+def _careful(pattern: str, kind: str) -> Any:
+    """Spans of a pattern that can match the empty string; empty matches are dropped."""
     rule = re.compile(pattern)
 
     def find(texts: pd.Series) -> pd.Series:
@@ -91,7 +93,6 @@ def _careful(pattern: str, kind: str) -> Any:
             out.append(own)
         return pd.Series(out)
 
-    find.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(find, NO_SPANS)
 
 
@@ -138,6 +139,12 @@ def detected_types(text: Column) -> Column:
     return F.array_compact(F.array(*(F.when(F.size(variant_matches(text, n)) > 0, F.lit(n)) for n in VARIANTS)))
 
 
+def variant_report(cases: DataFrame) -> DataFrame:
+    """Cases (text, expect; INVALID: nothing is to be found) with what the variant detectors find and whether that is right."""
+    found = cases.withColumn("found", F.array_join(detected_types(F.col("text")), ","))
+    return found.withColumn("passed", F.when(F.col("expect") == "INVALID", F.col("found") == "").otherwise(F.array_contains(F.split("found", ","), F.col("expect"))))
+
+
 def scan_by_arrow(docs: DataFrame) -> DataFrame:
     """``scan_text`` without validity in one Arrow pass; the same rows, for long lists of patterns."""
     import regex

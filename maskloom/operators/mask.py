@@ -89,6 +89,11 @@ def vault(masked: DataFrame, right_first: bool = True) -> DataFrame:
     return rows.groupBy("session_id", F.col("s.entity_type").alias("norm_type"), F.col("s.original").alias("original"), F.col("s.sub").alias("substitute")).agg(F.min(place).alias("seq"))
 
 
+def without_session(rows: DataFrame, session_id: object) -> DataFrame:
+    """A vault without one session; its replies then stay as they are."""
+    return rows.where(~F.col("session_id").eqNullSafe(F.lit(session_id)))
+
+
 def reverse_vault(forward: DataFrame) -> DataFrame:
     """session_id, substitute, original, norm_type: where originals collide on one substitute, the latest registration wins."""
     latest = F.max(F.struct("seq", "original", "norm_type")).alias("m")

@@ -272,6 +272,12 @@ ORACLE_SQL |= {
     f"generate_{f.lower()}": f"SELECT original, {family('' if f == 'GENERIC' else f, 'original', 'h', day_offset('7', Duck), Duck)} AS substitute FROM (SELECT original, {digest('7', repr(f), 'original', Duck)} AS h FROM ({src}))"
     for f, src in SAMPLES.items()
 }
+ORACLE_SQL |= {
+    "variant_report": f"SELECT doc_id, expect, types AS found, CASE expect WHEN 'INVALID' THEN types = '' ELSE list_contains(string_split(types, ','), expect) END AS passed FROM (SELECT doc_id, types, CASE doc_id % 3 WHEN 0 THEN 'PAN' WHEN 1 THEN 'PHONE' ELSE 'INVALID' END AS expect FROM ({ORACLE_SQL['detected_types']}))",
+    "ignore_mask": f"SELECT doc_id, concat_ws(' ', b, c) AS pred, concat_ws(' ', c, a) AS lab FROM ({TAG_ROWS})",
+    "first_rows": f"SELECT * FROM ({TAG_ROWS}) ORDER BY doc_id LIMIT 500",
+    "wiped_vault": f"SELECT * FROM ({ORACLE_SQL['vault_forward']}) WHERE session_id <> 3",
+}
 TOKEN_RUN = "[A-Za-z0-9@._+-]{3,}"
 BEST = f"""SELECT reply_id, i, original FROM (SELECT *, row_number() OVER (PARTITION BY reply_id, i ORDER BY d, strlen(substitute) DESC, substitute) AS k FROM (
     SELECT *, levenshtein(token, substitute) AS d, greatest(strlen(substitute) // 8, 2) AS most FROM (SELECT reply_id, session_id, unnest(regexp_extract_all(exact, '{TOKEN_RUN}')) AS token, generate_subscripts(regexp_extract_all(exact, '{TOKEN_RUN}'), 1) AS i FROM exact) t JOIN pairs v USING (session_id) WHERE {_compatible()})

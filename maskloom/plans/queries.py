@@ -73,6 +73,28 @@ def variant_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "detector", "value").agg(F.count("*").alias("n"))
 
 
+@query
+def variant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = prompts(spark, sf_dir).selectExpr("doc_id", "text", "CASE doc_id % 3 WHEN 0 THEN 'PAN' WHEN 1 THEN 'PHONE' ELSE 'INVALID' END AS expect")
+    return detect.variant_report(cases).select("doc_id", "expect", "found", "passed")
+
+
+@query
+def ignore_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _tags(spark, sf_dir).select("doc_id", dataset.without_ignored(F.array("a", "b", "c"), F.array(F.lit(-100), F.col("c"), F.col("a"))).alias("x"))
+    return rows.select("doc_id", _joined(F.col("x.pred")).alias("pred"), _joined(F.col("x.lab")).alias("lab"))
+
+
+@query
+def first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.first_rows(_tags(spark, sf_dir), "doc_id")
+
+
+@query
+def wiped_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.without_session(mask.vault(mask.mask_pipeline(prompts(spark, sf_dir))).drop("seq"), 3)
+
+
 @query
 def detected_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts(spark, sf_dir).select("doc_id", F.array_join(detect.detected_types(F.col("text")), ",").alias("types"))

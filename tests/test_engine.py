@@ -295,3 +295,24 @@ def test_stream(spark, tmp_path):
     to_memory(stream, "masked_stream", str(tmp_path / "c")).awaitTermination(60)
     got = {r.doc_id: r.masked for r in spark.table("masked_stream").collect()}
     assert got == {r.doc_id: r.masked for r in mask.mask_pipeline(docs).collect()}
+
+
+def test_single_strings(spark):
+    from maskloom import api
+
+    session = api.Session(spark)
+    assert session.unmask_reply("x") == "x" and json.loads(session.unmask_reply_json("x")) == {"text": "x", "fuzzy_spans": []}
+    text = "PAN ABCDE1234F and a.b@corp.co"
+    masked = session.mask_with_ner_json(text, '[{"label":"TAG","start":15,"end":18}]', '["pan"]', mock=False)
+    assert "ABCDE1234F" not in masked and "and" not in masked.split()[2:3] and session.unmask_reply(masked) == text
+    assert json.loads(session.unmask_reply_json(masked))["text"] == text
+    session.wipe()
+    assert session.unmask_reply(masked) == masked
+    assert "Acme" not in session.mask_with_rules_json("Acme 1", '[{"pattern":"Acme","replacement_type":"ORG"}]') and session.mask_with_keywords_json("alpha", '["alpha"]') != "alpha"
+    assert json.loads(session.mask_text_profiled(text))["input_len"] == len(text) and session.mask_summary(text).startswith("Hidden: ")
+    assert [r.entity_type for r in api.scan_valid_text(spark, text)] == ["PAN", "EMAIL"] and len(api.scan_text(spark, "111111111111")) == 1
+    assert [r.value for r in api.detect_keywords(spark, "a Secret")] == ["Secret"] and [r.text for r in api.chunk_text(spark, "a b c", 2, 1)] == ["a b", "b c"]
+    with pytest.raises(ValueError, match="limit"):
+        api.tier4_detect(spark, "w " * 50_001)
+    assert api.redact_pii(spark, "ABCDE1234F", "#") == "#" * 10
+    assert re.fullmatch(r"[6-9]\d{9}", api.generate_substitute(spark, "INDIAN_PHONE", "9876543210")) and re.fullmatch("[A-Z]{2}", api.generate_substitute(spark, "ORG", "AB"))
