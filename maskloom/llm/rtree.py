@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, from_ipc, mix64, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
 
-BLOCK_BYTES, GROUPS, FANOUT, PIVOTS, UNIT, FILE = 4_000_000, 32, 16, 16, 4_000_000, 20_000
+BLOCK_BYTES, GROUPS, FANOUT, PIVOTS, UNIT, FILE = 4_000_000, 256, 16, 16, 4_000_000, 20_000
+#: A count of FULL or more is kept as FULL and bounds nothing: it stands for any number.
+FULL, ANY = 255, 1 << 24
 WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
@@ -146,10 +148,20 @@ def files(sets: np.ndarray, at: np.ndarray, law: Law) -> tuple[np.ndarray, np.nd
 def counts(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The point of each entry: how many of its shingles fall into each hash group."""
     size = np.diff(at)
-    group = (sets >> np.uint64(59)).astype(np.int64)
+    group = (sets >> np.uint64(56)).astype(np.int64)
     return np.bincount(np.repeat(np.arange(len(size)), size) * GROUPS + group, minlength=len(size) * GROUPS).reshape(-1, GROUPS)
 
 
+def to_bytes(point: np.ndarray) -> bytes:
+    return np.minimum(point, FULL).astype(np.uint8).tobytes()
+
+
+def from_bytes(points: list[bytes]) -> np.ndarray:
+    out = np.frombuffer(b"".join(points), np.uint8).reshape(-1, GROUPS).astype(np.int32)
+    out[out == FULL] = ANY
+    return out
+
+
 class RTree:
     """A packed R-tree over count vectors; boxes keep the largest and smallest size and each group's largest count."""
 
@@ -232,38 +244,44 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-ENTRIES = "kind int, block_id bigint, row int, doc_id bigint, n bigint, entry bigint, bucket bigint, keys binary, owners binary"
+def _rows(words: int, id_col: str, text_col: str) -> Any:
+    """Of each row: its place, id, number of shingles and entry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                table, _, at, mark = _sets(payload.as_buffer(), text_col, words)
+                n = len(mark)
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column(id_col).combine_chunks().cast(pa.int64()), pa.array(np.diff(at)), pa.array(_signed(mark), mask=mark == 0)]
+                yield pa.RecordBatch.from_arrays(columns, ["block_id", "row", "doc_id", "n", "entry"])
+
+    return run
 
 
-def _entries(buckets: int, words: int, percent: int, id_col: str, text_col: str) -> Any:
-    """For each row (kind 0) its entry; for each bucket (kind 1) the files of the block's entries with their points."""
+def _reports(buckets: int, words: int, percent: int, text_col: str) -> Any:
+    """Of each bucket: the files of a block's entries. Keys keep their upper 48 bits; files that thereby coincide only bring candidates."""
     law = Law(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table, sets, at, mark = _sets(payload.as_buffer(), text_col, words)
-                n = len(mark)
-                none = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column(id_col).combine_chunks().cast(pa.int64()), pa.array(np.diff(at)), pa.array(_signed(mark), mask=mark == 0), pa.nulls(n, pa.int64()), none, none], [x.split()[0] for x in ENTRIES.split(", ")])
+            for payload in batch.column(1):
+                _, sets, at, mark = _sets(payload.as_buffer(), text_col, words)
                 own, first = np.unique(mark, return_index=True)
                 first = first[own != 0]
                 if not len(first):
                     continue
                 size = np.diff(at)[first]
                 ends = np.cumsum(size)
-                sets = sets[np.repeat(at[first] - ends + size, size) + np.arange(ends[-1])]
-                own_at = np.concatenate([[0], ends])
-                key, owner = files(sets, own_at, law)
+                key, owner = files(sets[np.repeat(at[first] - ends + size, size) + np.arange(ends[-1])], np.concatenate([[0], ends]), law)
                 if not len(key):
                     continue
                 order = np.argsort(key)
                 key, owner = key[order], owner[order]
                 bucket = _bucket(key, buckets)
+                key >>= np.uint64(16)
                 edge = [*_bounds(bucket).tolist(), len(key)]
                 rows = [(int(bucket[a]), b - a, packed(np.diff(key[a:b], prepend=np.uint64(0))), packed(mark[first][owner[a:b]])) for a, b in zip(edge, edge[1:], strict=False)]
-                m = len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.array(np.full(m, block)), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.nulls(m, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], [x.split()[0] for x in ENTRIES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "owners"])
 
     return run
 
@@ -301,7 +319,7 @@ def _points(words: int, text_col: str) -> Any:
                 size = np.diff(at)[rows]
                 own = [sets[at[r] : at[r + 1]] for r in rows.tolist()]
                 point = counts(np.concatenate(own), np.concatenate([[0], np.cumsum(size)]))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(mark[rows])), pa.array(size), pa.array([p.astype(np.uint32).tobytes() for p in point], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["entry", "n", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(mark[rows])), pa.array(size), pa.array(list(map(to_bytes, point)), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["entry", "n", "point", "shingles"])
 
     return run
 
@@ -310,7 +328,7 @@ def _candidates(percent: int) -> Any:
     def run(table: pa.Table) -> pa.Table:
         """Of one bin of files: star edges of what the bound connects in each file."""
         file, entry, size = (table.column(x).to_numpy() for x in ("file", "entry", "n"))
-        point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        point = from_bytes(table.column("point").to_pylist())
         law = Law(percent)
         order = np.lexsort((entry, file))
         edge = [*_bounds(file[order]).tolist(), len(order)]
@@ -335,7 +353,7 @@ def _verify(percent: int) -> Any:
         """Of one bin: star edges of the verified components of each cluster's tile."""
         law = Law(percent)
         unit, tile, entry, size, pivot = (table.column(x).to_numpy() for x in ("unit", "tile", "entry", "n", "pivot"))
-        point = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint32).reshape(-1, GROUPS).astype(np.int64)
+        point = from_bytes(table.column("point").to_pylist())
         blobs = table.column("shingles").combine_chunks()
         order = np.lexsort((entry, ~pivot.astype(bool), tile, unit))
         new = np.concatenate([[True], (unit[order[1:]] != unit[order[:-1]]) | (tile[order[1:]] != tile[order[:-1]])])
@@ -396,9 +414,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     scratch = Scratch(spark)
     blocks = scratch.write(pack_blocks(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, block_bytes), "blocks", maxRecordsPerFile=16, compression="uncompressed")
     buckets = 4 * max(shuffle_partitions(spark), blocks.count() // 8)
-    found = scratch.write(blocks.mapInArrow(_entries(buckets, words, percent, id_col, text_col), ENTRIES), "entries")
-    rows = found.where("kind = 0").select("block_id", "row", "doc_id", "n", "entry")
-    filed = scratch.write(found.where("kind = 1").select("bucket", "n", "keys", "owners").groupBy("bucket").applyInArrow(_filed, "file bigint, entry bigint, members bigint").distinct(), "filed")
+    rows = scratch.write(blocks.mapInArrow(_rows(words, id_col, text_col), "block_id bigint, row int, doc_id bigint, n bigint, entry bigint"), "rows")
+    reports = blocks.mapInArrow(_reports(buckets, words, percent, text_col), "bucket bigint, n bigint, keys binary, owners binary")
+    filed = scratch.write(reports.groupBy("bucket").applyInArrow(_filed, "file bigint, entry bigint, members bigint").distinct(), "filed")
     # One row of each entry that lies in a file with another.
     place = rows.where("entry is not null").groupBy("entry").agg(F.min(F.struct("block_id", "row")).alias("p")).select("entry", "p.block_id", "p.row")
     place = place.join(filed.select("entry").distinct(), "entry", "left_semi")
