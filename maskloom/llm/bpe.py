@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import kept, prepare
 
 #: Pre-tokens that a Python worker remembers; longer ones than KEPT_CHARS are encoded anew each time.
 CACHE_WORDS, KEPT_CHARS = 600_000, 48
@@ -145,14 +145,9 @@ class Codec:
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One codec for each vocabulary and Python process."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    """One codec for a vocabulary in a Python process."""
+    return kept(f"bpe {path}", lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, whole: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

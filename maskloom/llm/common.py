@@ -11,7 +11,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -88,6 +88,22 @@ class Scratch:
             return
 
 
+_kept: dict[str, Any] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What tasks of one operator share in a Python worker: a model, a vocabulary, known words. Only one such thing stays in memory."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def nothing_kept() -> None:
+    """For operators that keep nothing: let go of what others have kept in this worker."""
+    _kept.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finalizer on uint64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -103,14 +119,18 @@ BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659F
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base))
     out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    return np.cumprod(out, out=out)
 
 
 def range_hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of byte ranges: equal for equal bytes, wherever they lie and whatever lies around them."""
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * _powers(MULTIPLIER, len(data)), out=total[1:], dtype=np.uint64)
-    return mix64((total[end] - total[first]) * _powers(INVERSE, len(data) + 1)[first] + (end - first).astype(np.uint64))
+    total = _powers(MULTIPLIER, len(data))
+    total *= BYTE_CODE[data]
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(total, out=total)])
+    own = total[end] - total[first]
+    del total
+    own *= _powers(INVERSE, len(data) + 1)[first]
+    return mix64(own + (end - first).astype(np.uint64))
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,6 +195,7 @@ def pack_blocks(df: DataFrame, text: str, block_bytes: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        nothing_kept()
         base = TaskContext.get().partitionId() << 32
         for k, table in enumerate(slices(batches, text, block_bytes)):
             yield pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([to_ipc(table)], pa.binary())], ["block_id", "payload"])

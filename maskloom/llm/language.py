@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, prepare
+from .common import kept, mix64, prepare
 
 SAMPLE, BUCKETS, PENALTY, PIECE, SHARE, CACHE_WORDS = 20_000, 1 << 16, 12.0, 64, 0.01, 1_000_000
 #: First code points of blocks by script, in order; what lies below the first letter of a script belongs to it.
@@ -205,9 +205,6 @@ class Labeller:
         return names, share.tolist(), path, counts
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``keep`` (default: all), lang_pred, score (or ``names``) and, if asked, spans (language, first word, words) of mixed texts."""
     from pyspark.sql import types as T
@@ -221,13 +218,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool =
     extra = f"`{names[0]}` string, `{names[1]}` double" + ", spans array<struct<lang: string, first_word: int, n_words: int>>" * spans
     kind = T.StructType(source.schema.fields[:-1] + T.StructType.fromDDL(extra).fields)
     schema = to_arrow_schema(kind)
-    name = uuid.uuid4().hex
+    name = f"language {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _labellers:
-            _labellers.clear()
-            _labellers[name] = Labeller(Model(*shared.value))
-        labeller = _labellers[name]
+        labeller = kept(name, lambda: Labeller(Model(*shared.value)))
         for batch in batches:
             for at in range(0, batch.num_rows, 250):
                 part = batch.slice(at, 250)

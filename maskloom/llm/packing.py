@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import kept, prepare
 
 DEPTH, UNITS, GROUP_TOKENS, CACHE_WORDS = 3, 128, 8_000_000, 1_500_000
 LETTER, DIGIT, BLANK = r"a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
@@ -106,10 +106,9 @@ class WordTokenizer:
         return joined, counts
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer for each vocabulary and Python process; tasks that share a process share its words."""
-    return WordTokenizer(path)
+    """One tokenizer for a vocabulary in a Python process; tasks that share a process share its words."""
+    return kept(f"words {path}", lambda: WordTokenizer(path))
 
 
 @lru_cache(maxsize=4)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, from_ipc, mix64, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
+from .common import Scratch, from_ipc, mix64, nothing_kept, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
 
 BLOCK_BYTES, GROUPS, FANOUT, PIVOTS, UNIT, FILE = 4_000_000, 256, 16, 16, 4_000_000, 20_000
 #: A count of FULL or more is kept as FULL and bounds nothing: it stands for any number.
@@ -235,6 +235,7 @@ def _bounds(sorted_: np.ndarray) -> np.ndarray:
 
 
 def _sets(payload: Any, text_col: str, words: int) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    nothing_kept()
     table = from_ipc(payload)
     sets, at = shingle_sets(*texts_of(table.column(text_col)), words)
     return table, sets, at, fingerprints(sets, at)

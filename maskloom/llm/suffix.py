@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULTIPLIER, Scratch, from_ipc, mix64, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
+from .common import MULTIPLIER, Scratch, from_ipc, mix64, nothing_kept, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
 
 MATCH, GRAM, BLOCK_BYTES, STEP, TEXT = 50, 24, 4_000_000, 1 << 15, 100_000
 HALF = (MATCH - GRAM) // 2
@@ -47,7 +47,7 @@ def _gram_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 def _minimizers(data: np.ndarray) -> np.ndarray:
     """For each window of MATCH bytes, the place of its minimizer; ties go to the leftmost."""
     n, span = len(data) - MATCH + 1, MATCH - GRAM + 1
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     low = np.uint64(0xFFFF)
     for at in range(0, n, STEP):
         to = min(n, at + STEP)
@@ -64,7 +64,7 @@ def _minimizers(data: np.ndarray) -> np.ndarray:
             width *= 2
         if width < span:
             h = np.minimum(h[: to - at], h[span - width : span - width + to - at])
-        out[at:to] = (h & low).astype(np.int64) + at
+        out[at:to] = (h & low).astype(np.int32) + np.int32(at)
     return out
 
 
@@ -77,13 +77,14 @@ def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     change = np.zeros(len(data) + 1, np.int32)
     np.add.at(change, np.maximum(starts[:-1], starts[1:] - MATCH + 1), 1)
     np.add.at(change, starts[1:], -1)
-    valid = np.cumsum(change)[: len(where)] == 0
+    valid = np.cumsum(change, out=change)[: len(where)] == 0
+    del change
     edge = np.flatnonzero((where[1:] != where[:-1]) | (valid[1:] != valid[:-1])) + 1
     first = np.concatenate([[0], edge])
     last = np.concatenate([edge, [len(where)]]) - 1
     keep = valid[first]
     first, last = first[keep], last[keep]
-    place = where[first]
+    place = where[first].astype(np.int64)
     grams = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, GRAM)[place]).view("<u8").astype(np.uint64)
     # Minimizers have small hashes; mixed once more, they spread over buckets.
     key = mix64(_gram_hash(grams[:, 0], grams[:, 1], grams[:, 2]) + np.uint64(MULTIPLIER)) if len(grams) else none.astype(np.uint64)
@@ -192,6 +193,7 @@ def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _block(payload: Any, id_col: str, text_col: str) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Table, bytes, starts; key, first and last window, and place of the anchors of documents with an id; the anchors' documents (row numbers)."""
+    nothing_kept()
     table = from_ipc(payload)
     data, starts = texts_of(table.column(text_col))
     key, first, last, place = anchors(data, starts)
@@ -374,7 +376,7 @@ def removal(data: np.ndarray, first: np.ndarray, last: np.ndarray, ids: np.ndarr
         begin = first[of] + runs[0, row]
         np.add.at(gone, begin, 1)
         np.add.at(gone, begin + runs[1, row] - 1 + MATCH, -1)
-    return np.cumsum(gone)[:-1] > 0
+    return np.cumsum(gone, out=gone)[:-1] > 0
 
 
 def _removed(id_col: str, text_col: str, names: list[str], schema: pa.Schema) -> Any:
@@ -386,11 +388,11 @@ def _removed(id_col: str, text_col: str, names: list[str], schema: pa.Schema) ->
                 named = np.concatenate([unpacked(p["named"], p["n"], np.uint64) for p in parts]) if parts else np.zeros(0, np.uint64)
                 runs = np.concatenate([unpacked(p["runs"], 3 * p["n"], np.int64).reshape(3, -1) for p in parts], axis=1) if parts else np.zeros((3, 0), np.int64)
                 gone = removal(data, first, last, _ids(table.column(id_col))[0][doc], named, runs)
-                total = np.concatenate([[0], np.cumsum(gone)])
+                total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gone, dtype=np.int32)])
                 begins = gone.copy()
                 begins[1:] &= ~gone[:-1]
                 begins[starts[:-1][starts[:-1] < len(gone)]] = gone[starts[:-1][starts[:-1] < len(gone)]]
-                spans = np.concatenate([[0], np.cumsum(begins)])
+                spans = np.concatenate([np.zeros(1, np.int32), np.cumsum(begins, dtype=np.int32)])
                 removed, pieces = total[starts[1:]] - total[starts[:-1]], spans[starts[1:]] - spans[starts[:-1]]
                 kept = [data[a:b].tobytes() if not r else data[a:b][~gone[a:b]].tobytes() for a, b, r in zip(starts[:-1].tolist(), starts[1:].tolist(), removed.tolist(), strict=True)]
                 made = {
