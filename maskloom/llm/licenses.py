@@ -7,6 +7,9 @@ table, rarest first. A match needs one of the template's first |T| - need + 1 wo
 (positional filter); what survives is counted exactly. Templates are a parameter, so the index is a literal in the
 plan; blocks never leave their row, so nothing is shuffled but the vocabulary's counts.
 
+Notices wrapped over lines are found with ``windows``: then every window of the text's words, SLACK times as long as the template, is a
+block too, whatever lines it crosses. A matching window holds a word of the template's prefix, so only windows around those are counted.
+
 Defined results: null and empty texts have no words, no labels, null positions and score 0; repeated rows and ties give
 equal results; very long lines are sets like others; an empty table gives no rows; other columns are not read.
 """
@@ -37,6 +40,8 @@ TEMPLATES = {
     "proprietary": ["all rights reserved no part may be reproduced without permission"],
 }
 THRESHOLD = 0.9
+#: Words of a window for each word of the template; the rest may be other words, such as comment marks.
+SLACK = 2
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,16 +67,19 @@ def vocabulary_order(docs: DataFrame, words: list[str], text_col: str) -> list[s
     return sorted(words, key=lambda w: (found.get(w, 0), w))
 
 
-def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, score of each template found)."""
+def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", windows: bool = False) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches (label, score of each template found).
+
+    Blocks are lines and, with ``windows``, also windows of words across lines.
+    """
     vocabulary = vocabulary_order(docs, sorted({w for ts in templates.values() for t in ts for w in t.split()}), text_col)
     rank = {w: k for k, w in enumerate(vocabulary)}
     index = []
     for label, texts in templates.items():
         for t in texts:
             words = sorted(set(t.split()), key=rank.__getitem__)
-            index.append((label, words, math.ceil(threshold * len(words) - 1e-9)))
-    prefix = sorted({w for _, words, need in index for w in words[: len(words) - need + 1]})
+            index.append((label, words, math.ceil(threshold * len(words) - 1e-9), SLACK * len(t.split())))
+    prefix = sorted({w for _, words, need, _ in index for w in words[: len(words) - need + 1]})
 
     doc = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.translate(text_or_empty(text_col), UPPER, LOWER).alias("low"))
     doc = doc.withColumn("s", _spaced(F.col("low")))
@@ -80,8 +88,22 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
     doc = doc.withColumns(parts)
     lines = F.filter(F.split("low", "\n", -1), lambda x: x.rlike("(?:" + "|".join(map(re.escape, prefix)) + ")")) if prefix else F.array().cast("array<string>")
     doc = doc.withColumn("blocks", F.array_distinct(F.transform(lines, lambda x: F.array_intersect(_strings(vocabulary), F.split(_spaced(x), " ")))))
+    if windows and prefix:
+        most = max(width for *_, width in index)
+        near = F.transform("ws", lambda w, i: F.when(w.isin(prefix), F.slice("ws", F.greatest(i - (most - 2), F.lit(1)), 2 * most - 1)))
+        few = min(need for _, _, need, _ in index)
+        doc = doc.withColumn("ws", F.split("s", " "))
+        doc = doc.withColumn("around", F.filter(near, lambda c: c.isNotNull() & (F.size(F.array_intersect(_strings(vocabulary), c)) >= few)))
+        doc = doc.drop("ws")
     doc = doc.drop("low", "s")
 
+    def widest(words: list[str], need: int, width: int) -> Column:
+        """The share of the best window, null if none has ``need`` words."""
+        own = lambda c: F.size(F.array_intersect(_strings(words), c))
+        starts = lambda c: F.sequence(F.lit(1), F.greatest(F.size(c) - width + 1, F.lit(1)))
+        counted = F.transform(F.filter("around", lambda c: own(c) >= need), lambda c: F.array_max(F.transform(starts(c), lambda k: own(F.slice(c, k, width)))))
+        return F.array_max(F.filter(counted, lambda n: n >= need)) / F.lit(float(len(words)))
+
     def best(words: list[str], need: int) -> Column:
         size = len(words)
 
@@ -95,7 +117,11 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, phrases:
         counted = F.transform(F.filter("blocks", passes), lambda b: F.size(F.array_intersect(_strings(words), b)))
         return F.array_max(F.filter(counted, lambda n: n >= need)) / F.lit(float(size))
 
-    pairs = F.array(*(F.when(F.size("blocks") > 0, F.struct(F.lit(label).alias("label"), best(words, need).alias("score"))) for label, words, need in index))
+    def found(words: list[str], need: int, width: int) -> Column:
+        return F.greatest(best(words, need), widest(words, need, width)) if windows and prefix else best(words, need)
+
+    some = (F.size("blocks") > 0) | (F.size("around") > 0) if windows and prefix else F.size("blocks") > 0
+    pairs = F.array(*(F.when(some, F.struct(F.lit(label).alias("label"), found(words, need, width).alias("score"))) for label, words, need, width in index))
     doc = doc.withColumn("matches", F.filter(pairs, lambda x: x["score"].isNotNull()))
 
     hits = [(F.col(f"p{k}"), len(p.split()), label) for k, (p, label) in enumerate(phrases.items())]

@@ -52,6 +52,46 @@ def test_license_filters_keep_what_counting_finds(spark):
             assert got[k] == ",".join(sorted(want)), (threshold, text)
 
 
+WRAPPED = {
+    "mit": "// Permission is hereby granted, free of charge, to any person\n// obtaining a copy of this software and associated documentation",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that",
+    "gpl-3": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by",
+    "mpl-2": "/* This Source Code Form is subject to the terms of the Mozilla\n * Public License, v. 2.0. If a copy",
+}
+
+
+def test_wrapped_notices(spark):
+    rows = [(k, "lorem ipsum\n" * 50 + text + "\ndolor" * 50) for k, text in enumerate(WRAPPED.values())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.labels for r in licenses.scan(docs).collect()} == {""}
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(docs, windows=True).collect()}
+    assert got == {k: (label, 1.0) for k, label in enumerate(WRAPPED)}
+
+
+def test_license_windows_are_all_windows(spark, none):
+    import random
+
+    r = random.Random(2)
+    templates = {"a": ["one two three four five six seven eight nine ten"], "b": ["one two three", "eleven twelve"], "c": ["z"], "d": ["one one two five twelve"]}
+    vocabulary = sorted({w for ts in templates.values() for t in ts for w in t.split()})
+    rows = [(k, " ".join(r.choice(vocabulary) + r.choice(["", "", "\n", " x", " y\n"]) for _ in range(r.randrange(0, 60)))) for k in range(120)] + [(120, None)]
+    rows = [(k, text and (text.replace("z", "q") if k % 3 else text)) for k, text in rows]
+    for threshold in (0.5, 0.9, 1.0):
+        got = {x.doc_id: (x.labels, round(x.score, 9)) for x in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), templates, {"q q q q": "q"}, threshold, windows=True).collect()}
+        for k, text in rows:
+            w, found, based = (text or "").split(), {}, " q q q q " in f" {' '.join((text or '').split())} "
+            for label, ts in templates.items():
+                for t in ts:
+                    own, width = set(t.split()), licenses.SLACK * len(t.split())
+                    blocks = [w[i : i + width] for i in range(max(1, len(w) - width + 1))] + [line.split() for line in (text or "").split("\n")]
+                    share = max(len(own & set(b)) / len(own) for b in blocks)
+                    if share >= threshold - 1e-9:
+                        found[label] = max(share, found.get(label, 0))
+            want = 1.0 if based else max(found.values(), default=0.0)
+            assert got[k] == (",".join(sorted(set(found) | ({"q"} if based else set()))), round(want, 9)), (threshold, text)
+    assert licenses.scan(none, windows=True).count() == 0
+
+
 def test_viterbi_is_the_plain_one():
     r = np.random.default_rng(0)
     for penalty in (0.0, 2.0, 9.0):
