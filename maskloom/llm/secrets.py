@@ -4,8 +4,12 @@ Labelled credentials are the values that the base patterns find (label: the patt
 kind, those with the least hashes of the whole table. Characters are coded by class. For each kind a prefix tree with counts is built and
 its states are merged, breadth first, where a Hoeffding test finds their outgoing and final frequencies compatible,
 recursively, and determinized by folding. The automaton gives a string a probability. Every token of the text that
-could be a credential is scored by all automata, per character; it is a secret of kind ``format`` if some automaton gives it
-at least what that automaton gives nearly all of its own examples. Base spans stay as they are; format spans don't overlap them.
+could be a credential is scored by all automata, per character, and so is every range of its parts between separators; it is a secret
+of kind ``format`` if some automaton gives it at least what that automaton gives nearly all of its own examples. Of the ranges of a token
+disjoint ones with most characters in all are kept. Base spans stay as they are; format spans don't overlap them.
+
+All ranges of a token are scored in one pass: ranges that have come to the same state go on together, and of those only the ones
+that no other exceeds in both likelihood and characters.
 
 Defined results: null and empty texts have no spans; without labelled credentials there are no format spans; repeated rows have
 equal spans; offsets are code points; an empty table gives no rows.
@@ -16,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +42,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: What may be a credential: a token of 16 or more of these characters with a letter and a digit.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: Parts of a token: what lies between separators, without marks at its ends.
+PART = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9+_-]*[A-Za-z0-9])?")
+LEAST = 16
 DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 
@@ -166,7 +174,7 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {(KINDS[k], v) for text in batch.column(0).to_pylist() if text for _, k, _, v in base_spans(text) if len(v) <= 256}
+            found = {(KINDS[k], v) for text in batch.column(0).to_pylist() if text for _, k, _, v in base_spans(text)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["kind", "value"])
 
     own = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(values, "kind string, value string").withColumn("h", F.xxhash64("value"))
@@ -180,19 +188,126 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict
     return {k: infer(v) for k, v in sorted(by.items()) if len(v) >= 5}
 
 
+class _Ranges:
+    """Ranges of parts that have come to the same state, by their first part."""
+
+    def __init__(self) -> None:
+        self.past = 0.0  # what all have gathered since they are together
+        self.early: deque[tuple[int, int, float]] = deque()  # too short or without a letter or a digit so far, by start
+        self.front: list[tuple[int, float, int]] = []  # (-gain, excess, first part): less gain, more excess
+
+    def add(self, loss: int, excess: float, first: int) -> None:
+        at = bisect_right(self.front, loss, key=lambda x: x[0])
+        if at and self.front[at - 1][1] >= excess:
+            return
+        end = at
+        while end < len(self.front) and self.front[end][1] <= excess:
+            end += 1
+        self.front[at:end] = [(loss, excess, first)]
+
+    def join(self, other: _Ranges) -> None:
+        shift = other.past - self.past
+        if len(other.front) + len(other.early) > len(self.front) + len(self.early):
+            self.past, other.past, shift = other.past, self.past, -shift
+            self.front, other.front = other.front, self.front
+            self.early, other.early = other.early, self.early
+        moved = [(first, loss, excess + shift) for first, loss, excess in other.early]
+        if not moved or not self.early or self.early[-1] < moved[0]:
+            self.early.extend(moved)
+        elif moved[-1] < self.early[0]:
+            self.early.extendleft(reversed(moved))
+        else:
+            self.early = deque(sorted([*self.early, *moved]))
+        for loss, excess, first in other.front:
+            self.add(loss, excess + shift, first)
+
+
+def best_ranges(run: str, parts: list[tuple[int, int]], automata: list[Automaton]) -> list[tuple[int, int]]:
+    """Disjoint ranges of neighbouring parts that some automaton takes, with most characters in all; start and end in the run."""
+    codes, n = coded(run), len(parts)
+    ready = [len(run) + 1] * (n + 1)  # where a range from each part on has a letter, a digit and LEAST characters
+    digit = letter = len(run) + 1
+    for i in range(n - 1, -1, -1):
+        a, b = parts[i]
+        found, other = DIGIT.search(run, a, b), LETTER.search(run, a, b)
+        digit, letter = found.end() if found else digit, other.end() if other else letter
+        ready[i] = max(digit, letter, a + LEAST)
+    cover, chosen = [0] * (n + 1), [-1] * (n + 1)
+    live: list[dict[int, _Ranges]] = [{} for _ in automata]
+    last = 0
+    for j, (a, b) in enumerate(parts):
+        cover[j + 1] = cover[j]
+        for number, x in enumerate(automata):
+            groups = live[number]
+            for at in range(last, b):
+                if at == a:
+                    fresh = _Ranges()
+                    fresh.early.append((j, a - cover[j], 0.0))
+                    if 0 in groups:
+                        groups[0].join(fresh)
+                    else:
+                        groups[0] = fresh
+                if not groups:
+                    continue
+                moved: dict[int, _Ranges] = {}
+                for state, group in groups.items():
+                    to = x.step[state].get(codes[at])
+                    if to is not None:
+                        group.past += to[1] - math.log(WIDTH.get(codes[at], 1)) - x.least
+                        if to[0] in moved:
+                            moved[to[0]].join(group)
+                        else:
+                            moved[to[0]] = group
+                groups = moved
+            live[number] = groups
+            for state, group in groups.items():
+                while group.early and ready[group.early[0][0]] <= b:
+                    first, loss, excess = group.early.popleft()
+                    group.add(loss, excess, first)
+                at = bisect_left(group.front, x.least - x.stop[state] - group.past, key=lambda r: r[1])
+                if at < len(group.front) and b - group.front[at][0] > cover[j + 1]:
+                    cover[j + 1], chosen[j + 1] = b - group.front[at][0], group.front[at][2]
+        last = b
+    out, j = [], n
+    while j:
+        if chosen[j] < 0:
+            j -= 1
+        else:
+            out.append((parts[chosen[j]][0], parts[j - 1][1]))
+            j = chosen[j]
+    return out[::-1]
+
+
 def all_spans(text: str, automata: dict[str, Automaton]) -> list[tuple[int, int, int]]:
     """start, number of the kind, end of all spans, in order."""
     base = base_spans(text)
     spans = [(a, k, b) for a, k, b, _ in base]
     if automata:
+        models, at = list(automata.values()), 0
+        taken: list[list[int]] = []  # base spans, joined where they overlap
+        for a, _, b in spans:
+            if taken and a < taken[-1][1]:
+                taken[-1][1] = max(taken[-1][1], b)
+            else:
+                taken.append([a, b])
         for m in TOKEN.finditer(text):
-            value = m[0].strip("=.-_/+")
-            if len(value) < 16 or len(value) > 256 or not (DIGIT.search(value) and LETTER.search(value)):
+            if not (DIGIT.search(m[0]) and LETTER.search(m[0])):
                 continue
-            a = m.start() + m[0].index(value)
-            b = a + len(value)
-            if not any(x < b and a < y for x, _, y in spans) and any(x.score(value) >= x.least for x in automata.values()):
-                spans.append((a, 3, b))
+            start, free = m.start(), [[]]
+            for p in PART.finditer(m[0]):
+                while at < len(taken) and taken[at][1] <= start + p.start():
+                    at += 1
+                if at < len(taken) and taken[at][0] < start + p.end():
+                    free.append([])
+                elif free[-1] and at and taken[at - 1][0] >= start + free[-1][-1][1]:
+                    free.append([p.span()])  # a base span of separators only lies between
+                else:
+                    free[-1].append(p.span())
+            for parts in free:
+                if parts and parts[-1][1] - parts[0][0] >= LEAST:
+                    offset, end = parts[0][0], parts[-1][1]
+                    own = [(a - offset, b - offset) for a, b in parts]
+                    spans += [(start + offset + a, 3, start + offset + b) for a, b in best_ranges(m[0][offset:end], own, models)]
     return sorted(spans)
 
 

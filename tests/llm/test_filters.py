@@ -218,3 +218,55 @@ def test_automata_and_rows(spark, odd, odd_rows, none):
     assert clean.schema.names == odd.schema.names and clean.where("doc_id = 11").first().text == "[assign]\" and [access]"
     assert Counter(x.text for x in clean.where("doc_id <> 11 or doc_id is null").collect()) == Counter(x[1] for x in odd_rows if x[0] != 11)
     assert secrets.learn(none) == {} and secrets.scan(none, {}).count() == 0
+
+
+def test_long_tokens_and_parts():
+    import random
+
+    r = random.Random(6)
+    key = lambda n: "ghp_" + "".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    automata = {"k": secrets.infer([key(36) for _ in range(80)])}
+    one, two = key(36), key(36)
+    assert secrets.all_spans(f"AUTH={one}", automata) == [(5, 3, 45)]
+    assert secrets.all_spans(f"see /srv/{one}/{two}.bak", automata) == [(9, 3, 49), (50, 3, 90)]
+    assert secrets.redacted(f"AUTH={one}", secrets.all_spans(f"AUTH={one}", automata)) == "AUTH=[format]"
+    long = ["".join(r.choice("0123456789ABCDEF") for _ in range(400)) for _ in range(81)]
+    assert secrets.all_spans(f"x {long[0]} y", {"k": secrets.infer(long[1:])}) == [(2, 3, 402)]
+
+
+def test_ranges_are_the_best_of_all():
+    import random
+
+    r = random.Random(7)
+    draw = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    automata = [
+        secrets.infer([draw(r.randrange(8, 30), "0123abcd") for _ in range(60)]),
+        secrets.infer([f"{draw(9, 'ghij')}/{draw(9, '0123456789')}" for _ in range(60)]),
+        secrets.infer([".".join(draw(r.randrange(4, 12), "xyz789") for _ in range(3)) for _ in range(60)]),
+    ]
+    some = 0
+    for _ in range(400):
+        made = lambda: r.choice([draw(r.randrange(1, 24), "0123abcd"), f"{draw(9, 'ghij')}/{draw(9, '0123456789')}", draw(r.randrange(3, 13), "xyz789"), draw(4, "Q-_+"), draw(6, "ab")])
+        run = "".join(made() + r.choice("=/./.") for _ in range(r.randrange(1, 9)))
+        parts = [m.span() for m in secrets.PART.finditer(run)]
+        passes = lambda v: len(v) >= 16 and re.search("[0-9]", v) and re.search("[A-Za-z]", v) and any(x.score(v) >= x.least for x in automata)
+        cover = [0] * (len(parts) + 1)
+        for j in range(len(parts)):
+            cover[j + 1] = max([cover[j]] + [cover[i] + parts[j][1] - parts[i][0] for i in range(j + 1) if passes(run[parts[i][0] : parts[j][1]])])
+        got = secrets.best_ranges(run, parts, automata)
+        assert sum(b - a for a, b in got) == cover[-1] and all(passes(run[a:b]) for a, b in got), run
+        assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
+        some += len(got) > 1
+    assert some > 5
+
+
+def test_long_runs_take_time_in_proportion():
+    import random
+    import time
+
+    r = random.Random(8)
+    automata = {"k": secrets.infer(["".join(r.choice("0123456789abcdefXYZ+/") for _ in range(r.randrange(20, 60))) for _ in range(80)])}
+    for text in ("".join(r.choice("0123456789abcdefXYZ+/") for _ in range(100_000)), "ab/" * 30_000 + "1", "a1=" * 30_000):
+        began = time.time()
+        secrets.all_spans(text, automata)
+        assert time.time() - began < 20
