@@ -13,7 +13,7 @@ from maskloom.llm.common import Scratch
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language is found; those without a letter go."""
+    """Documents in which some language is found; those without a letter, or with no word in a script of a learned language, go."""
     model = language.fit(docs.where(language.fold(F.col("doc_id")) != 0))
     names = ("_language", "_share")
     while set(names) & {c.lower() for c in docs.columns}:

@@ -4,10 +4,10 @@ Learning counts hashed character trigrams (with word edges) and letters by scrip
 at most SAMPLE labelled texts chosen by hash; whole texts, summed in Spark. A language is a candidate for a word only
 if it has a share of the word's script. A word's score for a language is the sum of its trigrams' log probabilities, less the
 best language's. The best path through the languages, with PENALTY for each change, labels every word; the language with most
-letters is the text's, their share is the score. Viterbi runs over pieces of PIECE words at once, joined by their max-plus products,
+letters in words that are evidence is the text's, their share of all letters is the score. Viterbi runs over pieces of PIECE words at once, joined by their max-plus products,
 which gives the same path as word by word.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; ties go to the first language in order; words of
+Defined results: a null text, or one without a letter or without evidence, is ``und`` with score 0 and has no spans; ties go to the first language in order; words of
 a script that no language has are no evidence; without labelled texts everything is ``und``; equal texts have equal results.
 """
 
@@ -77,6 +77,11 @@ class Model:
         out[~may.any(axis=1)] = 0
         return np.maximum(out, -60.0).astype(np.float32)
 
+    def evidence(self, words: list[str]) -> np.ndarray:
+        """Whether some language has a share of each word's script."""
+        letters = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+        return self.allowed.any(axis=1)[NUMBER[np.searchsorted(STARTS, letters, "right") - 1]]
+
 
 def fold(doc_id: Column) -> Column:
     """The contract's remainder: crc32 of the id as text, mod 5."""
@@ -176,13 +181,14 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.number, self.table = model, {}, np.zeros((0, len(model.languages)), np.float32)
+        self.evident = np.zeros(0, bool)
 
     def label(self, texts: list[str | None]) -> tuple[list[str], list[float], np.ndarray, np.ndarray]:
         """Language and score of each text, and the languages of its words with their numbers of words."""
         if not self.model.languages:
             return ["und"] * len(texts), [0.0] * len(texts), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         if len(self.number) > CACHE_WORDS:
-            self.number, self.table = {}, self.table[:0]
+            self.number, self.table, self.evident = {}, self.table[:0], self.evident[:0]
         found = [_words(t) if t else [] for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         get = self.number.get
@@ -190,6 +196,7 @@ class Labeller:
         if None in at:
             new = list(dict.fromkeys(w for words in found for w in words if w not in self.number))
             self.table = np.concatenate([self.table, self.model.scores(new)])
+            self.evident = np.concatenate([self.evident, self.model.evidence(new)])
             base = len(self.number)
             self.number.update((w, base + k) for k, w in enumerate(new))
             at = [k for words in found for k in map(get, words)]
@@ -197,9 +204,9 @@ class Labeller:
         size = np.fromiter((len(w) for words in found for w in words), np.int64, len(at))
         k = len(self.model.languages)
         text = np.repeat(np.arange(len(texts)), counts)
-        letters = np.bincount(text * k + path, weights=size, minlength=len(texts) * k).reshape(-1, k)
-        top, total = letters.argmax(axis=1), letters.sum(axis=1)
-        known = total > 0
+        letters = np.bincount(text * k + path, weights=size * self.evident[np.array(at, np.int64)], minlength=len(texts) * k).reshape(-1, k)
+        top, total = letters.argmax(axis=1), np.bincount(text, weights=size, minlength=len(texts))
+        known = letters.any(axis=1)
         names = [self.model.languages[i] if ok else "und" for i, ok in zip(top.tolist(), known.tolist(), strict=True)]
         share = np.where(known, letters.max(axis=1) / np.maximum(total, 1), 0.0)
         return names, share.tolist(), path, counts
@@ -228,17 +235,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", spans: bool =
                 found, share, path, counts = labeller.label(part.column(part.num_columns - 1).to_pylist())
                 made: list[Any] = [pa.array(found, pa.string()), pa.array(share, pa.float64())]
                 if spans:
-                    made.append(pa.array(_runs(path, counts, labeller.model.languages), schema.field("spans").type))
+                    made.append(pa.array(_runs(path, counts, found, labeller.model.languages), schema.field("spans").type))
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns[:-1], *made], schema, strict=True)], schema=schema)
 
     return source.mapInArrow(run, kind)
 
 
-def _runs(path: np.ndarray, counts: np.ndarray, languages: list[str]) -> list[list[dict[str, Any]]]:
+def _runs(path: np.ndarray, counts: np.ndarray, found: list[str], languages: list[str]) -> list[list[dict[str, Any]]]:
     out, at = [], 0
-    for n in counts.tolist():
+    for n, lang in zip(counts.tolist(), found, strict=True):
         own = path[at : at + n]
         at += n
-        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist() if n and languages else []
-        out.append([{"lang": languages[own[a]], "first_word": a, "n_words": b - a} for a, b in zip(edge, [*edge[1:], n], strict=True)])
+        edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])).tolist() if lang != "und" else []
+        out.append([{"lang": languages[own[a]], "first_word": a, "n_words": b - a} for a, b in zip(edge, [*edge[1:], n][: len(edge)], strict=True)])
     return out

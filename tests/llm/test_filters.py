@@ -130,6 +130,14 @@ def test_language_spans_and_odd_rows(spark, odd, none):
     assert language.predict(none, model, keep=["doc_id"]).count() == 0
 
 
+def test_unknown_scripts_are_no_evidence(spark):
+    training = [(k, t, x) for k in range(20) for x, t in (("de", "das haus ist auf dem berg"), ("en", "the house is on the hill"))]
+    model = language.fit(spark.createDataFrame(training, "doc_id bigint, text string, lang string"))
+    docs = spark.createDataFrame([(1, "บ้าน บน"), (2, "the house домдомдд"), (3, "the house is"), (4, None)], "doc_id bigint, text string")
+    rows = {r.doc_id: (r.lang_pred, r.score, len(r.spans)) for r in language.predict(docs, model, spans=True).collect()}
+    assert rows == {1: ("und", 0.0, 0), 2: ("en", 0.5, 1), 3: ("en", 1.0, 1), 4: ("und", 0.0, 0)}
+
+
 BLANK = re.compile(r"[^\x20\x09-\x0D]+")
 
 
