@@ -198,12 +198,21 @@ def read_back(stored: DataFrame) -> DataFrame:
     return stored.mapInArrow(run, kind).distinct()
 
 
-def resolve(sequenced: DataFrame, media: DataFrame, items_col: str = "items") -> DataFrame:
-    """One row for each media item: the other columns, position, caption, and the columns of ``media`` (null if the store lacks it)."""
+def resolve(sequenced: DataFrame, media: DataFrame, items_col: str = "items", every: bool = False) -> DataFrame:
+    """One row for each item with a digest, or with ``every`` for each media item whatever its reference.
+
+    The other columns, position, caption, and the columns of ``media`` (null if the store lacks it); the digest of other references is null.
+    """
     kept = [c for c in sequenced.columns if c != items_col]
-    refs = sequenced.select(*kept, F.explode(F.filter(items_col, lambda x: x["ref"].startswith(SCHEME))).alias("_item"))
-    refs = refs.select(*kept, F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.substr("_item.ref", F.lit(len(SCHEME) + 1)).alias("digest"))
-    return refs.join(media, "digest", "left")
+    digest = F.substr("_ref", F.lit(len(SCHEME) + 1)).alias("digest")
+    refs = sequenced.select(*kept, F.explode(F.filter(items_col, lambda x: x["kind"] != "text" if every else x["ref"].startswith(SCHEME))).alias("_item"))
+    refs = refs.select(*kept, F.col("_item.position").alias("position"), F.col("_item.caption").alias("caption"), F.col("_item.ref").alias("_ref"))
+    if not every:
+        return refs.withColumn("digest", digest).drop("_ref").join(media, "digest", "left")
+    # On the whole reference: other references equal no payload's, and no null gathers them in one task.
+    payload = media.withColumnRenamed("digest", "_digest")
+    joined = refs.join(payload, F.col("_ref") == F.concat(F.lit(SCHEME), F.col("_digest")), "left")
+    return joined.select(F.when(F.col("_ref").startswith(SCHEME), digest).alias("digest"), *kept, "position", "caption", *(c for c in media.columns if c != "digest"))
 
 
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -167,3 +167,11 @@ def test_damaged_image():
     image[-20] ^= 1
     with pytest.raises(ValueError):
         media.samples_of(bytes(image))
+
+
+def test_other_references_stay_unresolved(spark):
+    media_rows = spark.createDataFrame([("aa", 5), ("http://v", 6)], "digest string, payload_bytes bigint")
+    pages = spark.createDataFrame([(1, PAGE), (2, '<img src="aa" alt="local">'), (3, None)], "page_id bigint, html string")
+    rows = media.resolve(media.sequences(pages), media_rows, every=True).collect()
+    want = [(1, 2, "first", "aa", 5), (1, 3, "A & caption", "bb", None), (1, 5, None, None, None), (2, 0, "local", None, None)]
+    assert sorted(((r.page_id, r.position, r.caption, r.digest, r.payload_bytes) for r in rows), key=lambda x: x[:2]) == want
