@@ -1,12 +1,17 @@
 """Secret scans: base patterns, and formats inferred as probabilistic automata from labelled credentials.
 
-Labelled credentials are the values that the base patterns find (label: the pattern's kind), at most SAMPLE distinct ones a
-kind, those with the least hashes of the whole table. Characters are coded by class. For each kind a prefix tree with counts is built and
-its states are merged, breadth first, where a Hoeffding test finds their outgoing and final frequencies compatible,
-recursively, and determinized by folding. The automaton gives a string a probability. Every token of the text that
-could be a credential is scored by all automata, per character, and so is every range of its parts between separators; it is a secret
-of kind ``format`` if some automaton gives it at least what that automaton gives nearly all of its own examples. Of the ranges of a token
-disjoint ones with most characters in all are kept. Base spans stay as they are; format spans don't overlap them.
+Labelled credentials are the values that the base patterns find (label: the pattern's kind) and, if given, a table of further ones; at
+most SAMPLE distinct ones a kind, those with the least hashes of the whole table. They are dealt by alphabet, and each alphabet's values
+are one format. Part of them (by hash) is held back. Of the others a prefix tree is grown from the root; a state is the multiset of
+suffixes that pass through it. Two states are compatible if, on at least EVIDENCE suffixes each, neither the remaining lengths (largest gap of
+the distribution functions) nor the characters in the next AHEAD places differ by more than a Hoeffding margin, and the shortest and longest lengths agree. States are merged breadth first:
+each new state with the first compatible one. Children with less evidence cannot tell: those of one state are
+taken as one. So length, fixed parts and places stay where the data show them. The merged automaton gives a string a probability; what a state has
+not seen of a class of characters that it has seen gets the share that its variety suggests (Witten-Bell).
+
+Every token of the text that could be a credential is scored by all automata, per character, and so is every range of its parts between separators;
+it is a secret of kind ``format`` if some automaton gives it at least what that automaton gives nearly all of the values held back.
+Of the ranges of a token disjoint ones with most characters in all are kept. Base spans stay as they are; format spans don't overlap them.
 
 All ranges of a token are scored in one pass: ranges that have come to the same state go on together, and of those only the ones
 that no other exceeds in both likelihood and characters.
@@ -20,8 +25,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from bisect import bisect_left, bisect_right
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -34,7 +40,7 @@ from pyspark.sql.window import Window
 
 from .common import prepare
 
-SAMPLE, ALPHA, LOWEST = 300, 0.05, 0.02
+SAMPLE, ALPHA, LOWEST, EVIDENCE, AHEAD, LABELLED, STATES, RARE = 300, 0.05, 0.02, 20, 4, 10, 512, 0.01
 KINDS = ("assign", "access", "hex", "format")
 #: Fixed values of the contract.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -57,119 +63,141 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found)
 
 
-def coded(value: str) -> str:
-    """Characters by class: digit, hex letter, other letter by case; others stand for themselves."""
-    return "".join("0" if c.isdigit() else "a" if c in "abcdef" else "A" if c in "ABCDEF" else "g" if c.islower() else "G" if c.isupper() else c for c in value)
+#: Classes of characters: what a state has seen of one makes the rest of it likely. Alphabets of formats, narrowest first.
+CLASSES = ("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ")
+CLASS = {c: k for k, own in enumerate(CLASSES) for c in own}
+ALPHABETS = tuple((name, re.compile(f"[{own}]+")) for name, own in (("digits", "0-9"), ("hex", "0-9a-f"), ("HEX", "0-9A-F"), ("lower", "0-9a-z"), ("upper", "0-9A-Z"), ("mixed", "0-9A-Za-z"), ("marked", "0-9A-Za-z+/_=.-")))
 
 
-#: How many characters share a class, so that probabilities are per character.
-WIDTH = {"0": 10, "a": 6, "A": 6, "g": 20, "G": 20}
+def alphabet(value: str) -> str:
+    """The narrowest alphabet that has all of the value's characters."""
+    return next((name for name, own in ALPHABETS if own.fullmatch(value)), "other")
 
 
 @dataclass
 class Automaton:
-    """step[state][symbol] = (next state, log probability); stop[state] = log probability of ending there."""
+    """step[state][character] = (next state, log probability); stop[state] = log probability of ending there."""
 
     step: list[dict[str, tuple[int, float]]]
     stop: list[float]
     least: float = -math.inf
 
     def score(self, value: str) -> float:
-        """Log probability per character, with the classes' widths; minus infinity outside the language."""
+        """Log probability per character; minus infinity outside the language."""
         state, total = 0, 0.0
-        for c in coded(value):
+        for c in value:
             to = self.step[state].get(c)
             if to is None:
                 return -math.inf
             state = to[0]
-            total += to[1] - math.log(WIDTH.get(c, 1))
+            total += to[1]
         return (total + self.stop[state]) / (len(value) + 1)
 
 
+Suffixes = list[tuple[int, int]]
+
+
+class _Merger:
+    """Breadth-first merging; a state is the list of (value, place) of the suffixes that pass through it."""
+
+    def __init__(self, values: list[str], alpha: float):
+        self.values, self.margin = values, math.sqrt(0.5 * math.log(2 / alpha))
+        self.states: list[Suffixes] = []
+        self.seen: list[tuple[list[int], list[Counter[str]]]] = []
+
+    def facts(self, own: Suffixes) -> tuple[list[int], list[Counter[str]]]:
+        """Remaining lengths in order, and the characters of each of the next places (empty: the end)."""
+        left = sorted(len(self.values[v]) - at for v, at in own)
+        return left, [Counter(self.values[v][at + k : at + k + 1] for v, at in own) for k in range(AHEAD)]
+
+    @staticmethod
+    def beyond(a: list[int], b: list[int]) -> float:
+        """How likely lengths of one law leave each other's ends that empty; places that are one apart differ there first."""
+        low = (1 - bisect_left(a, b[0]) / len(a)) ** len(b) * (1 - bisect_left(b, a[0]) / len(b)) ** len(a)
+        return low * (bisect_right(a, b[-1]) / len(a)) ** len(b) * (bisect_right(b, a[-1]) / len(b)) ** len(a)
+
+    def compatible(self, a: tuple[list[int], list[Counter[str]]], b: tuple[list[int], list[Counter[str]]]) -> bool:
+        m, n = len(a[0]), len(b[0])
+        if min(m, n) < EVIDENCE:
+            return False
+        margin = self.margin * (1 / math.sqrt(m) + 1 / math.sqrt(n))
+        if self.beyond(a[0], b[0]) < RARE:
+            return False
+        if any(abs(bisect_right(a[0], x) / m - bisect_right(b[0], x) / n) > margin for x in {*a[0], *b[0]}):
+            return False
+        return all(abs(p[c] / m - q[c] / n) <= margin for p, q in zip(a[1], b[1], strict=True) for c in p.keys() | q.keys())
+
+    def children(self, own: Suffixes) -> list[tuple[set[str], Suffixes]]:
+        """Suffixes one character on: for each character, or together for those without enough of them."""
+        by: dict[str, Suffixes] = {}
+        for v, at in own:
+            if at < len(self.values[v]):
+                by.setdefault(self.values[v][at], []).append((v, at + 1))
+        out = [({c}, x) for c, x in sorted(by.items()) if len(x) >= EVIDENCE]
+        few = [(c, x) for c, x in sorted(by.items()) if len(x) < EVIDENCE]
+        if few:
+            out.append(({c for c, _ in few}, [s for _, x in few for s in x]))
+        return out
+
+    def run(self) -> list[dict[str, int]]:
+        """The next state by character of each state."""
+        first = [(v, 0) for v in range(len(self.values))]
+        self.states, self.seen, step = [first], [self.facts(first)], [{}]
+        at = 0
+        while at < len(self.states):
+            for chars, own in self.children(self.states[at]):
+                facts = self.facts(own)
+                to = next((k for k, other in enumerate(self.seen) if self.compatible(other, facts)), None)
+                if to is None and len(own) < EVIDENCE and at and len(self.states[at]) < EVIDENCE:
+                    to = at  # too few to tell one place from the next: one state for the rest
+                if to is None and len(self.states) >= STATES:
+                    to = at  # likewise beyond so many places: values of any length are learned from whole
+                if to is None:
+                    to = len(self.states)
+                    self.states.append(own)
+                    self.seen.append(facts)
+                    step.append({})
+                step[at].update(dict.fromkeys(chars, to))
+            at += 1
+        return step
+
+
 def infer(values: list[str], alpha: float = ALPHA, lowest: float = LOWEST) -> Automaton:
-    """A probabilistic automaton by merging compatible states of the prefix tree."""
-    child: list[dict[str, int]] = [{}]
-    through, ends, edge = [0], [0], [{}]
-    for value in sorted(values):
+    """A probabilistic automaton by merging compatible states of the prefix tree; every fifth value (by hash) only sets the threshold."""
+    own = sorted(set(values))
+    held = [v for v in own if zlib.crc32(v.encode()) % 5 == 0] if len(own) >= 5 * 5 else []
+    train = sorted(set(own) - set(held)) or own
+    step = _Merger(train, alpha).run()
+    # Probabilities from all training values' ways through the merged automaton.
+    count: list[Counter[str]] = [Counter() for _ in step]
+    for v in train:
         at = 0
-        through[0] += 1
-        for c in coded(value):
-            if c not in child[at]:
-                child[at][c] = len(child)
-                child.append({})
-                through.append(0)
-                ends.append(0)
-                edge.append({})
-            edge[at][c] = edge[at].get(c, 0) + 1
-            at = child[at][c]
-            through[at] += 1
-        ends[at] += 1
-    margin = math.sqrt(0.5 * math.log(2 / alpha))
-
-    def differ(f1: int, n1: int, f2: int, n2: int) -> bool:
-        return abs(f1 / n1 - f2 / n2) > margin * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
-
-    def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
-        seen = set()
-        while todo:
-            a, b = todo.pop()
-            if (a, b) in seen:
-                continue
-            seen.add((a, b))
-            if differ(ends[a], through[a], ends[b], through[b]):
-                return False
-            for c in edge[a].keys() | edge[b].keys():
-                if differ(edge[a].get(c, 0), through[a], edge[b].get(c, 0), through[b]):
-                    return False
-                if c in child[a] and c in child[b]:
-                    todo.append((child[a][c], child[b][c]))
-        return True
-
-    def fold(a: int, b: int) -> None:
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            through[a] += through[b]
-            ends[a] += ends[b]
-            for c, k in edge[b].items():
-                edge[a][c] = edge[a].get(c, 0) + k
-            for c, x in child[b].items():
-                if c in child[a]:
-                    todo.append((child[a][c], x))
-                else:
-                    child[a][c] = x
-
-    red, queue = [0], deque((0, c) for c in sorted(child[0]))
-    while queue:
-        parent, c = queue.popleft()
-        blue = child[parent][c]
-        if blue in red:
-            continue
-        for state in red:
-            if compatible(state, blue):
-                child[parent][c] = state
-                known = set(child[state])
-                fold(state, blue)
-                queue.extend((state, x) for x in sorted(child[state]) if x not in known and child[state][x] not in red)
-                break
-        else:
-            red.append(blue)
-            queue.extend((blue, x) for x in sorted(child[blue]))
-    number = {s: k for k, s in enumerate(red)}
-    step, stop = [], []
-    for s in red:
-        n = max(1, ends[s] + sum(edge[s].values()))
-        step.append({c: (number[child[s][c]], math.log(k / n)) for c, k in edge[s].items() if child[s][c] in number})
-        stop.append(math.log(ends[s] / n) if ends[s] else -math.inf)
-    out = Automaton(step, stop)
-    own = sorted(out.score(v) for v in values)
-    out.least = own[int(len(own) * lowest)] - 0.05
+        for c in v:
+            if c not in step[at]:  # a state that was merged into another has not taught it this character
+                step[at][c] = max(step[at].values(), default=at)
+            count[at][c] += 1
+            at = step[at][c]
+        count[at][""] += 1
+    steps, stop = [], []
+    for to, n in zip(step, count, strict=True):
+        total, kinds = sum(n.values()), len(n)
+        known = {CLASS[c] for c in n if c in CLASS}
+        fresh = sorted(c for k in known for c in CLASSES[k] if c not in n)
+        whole = total + (kinds if fresh else 0)
+        moves = {c: (to[c], math.log(x / whole)) for c, x in n.items() if c}
+        for c in fresh:
+            near = max((x for x in n if x and CLASS.get(x) == CLASS[c]), key=lambda x: (n[x], x))
+            moves[c] = (to[near], math.log(kinds / whole / len(fresh)))
+        steps.append(moves)
+        stop.append(math.log(n[""] / whole) if n[""] else -math.inf)
+    out = Automaton(steps, stop)
+    scores = sorted(out.score(v) for v in held or own)
+    out.least = scores[int(len(scores) * lowest)] - 0.05
     return out
 
 
-def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict[str, Automaton]:
-    """An automaton for each kind with at least 5 labelled credentials."""
+def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, labelled: DataFrame | None = None) -> dict[str, Automaton]:
+    """An automaton for each alphabet with at least LABELLED credentials; ``labelled`` (kind, value) adds to those that the base patterns find."""
     prepare(docs.sparkSession)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,15 +205,18 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> dict
             found = {(KINDS[k], v) for text in batch.column(0).to_pylist() if text for _, k, _, v in base_spans(text)}
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["kind", "value"])
 
-    own = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(values, "kind string, value string").withColumn("h", F.xxhash64("value"))
+    own = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(values, "kind string, value string")
+    if labelled is not None:
+        own = own.unionByName(labelled.where("kind is not null and value <> ''").select(F.col("kind").cast("string").alias("kind"), F.col("value").cast("string").alias("value")))
+    own = own.withColumn("h", F.xxhash64("value"))
     # Least hashes first within salted parts, then among the parts' best: no kind gathers in one task.
     part = own.distinct().withColumn("part", F.pmod("h", F.lit(64)))
     near = part.withColumn("k", F.row_number().over(Window.partitionBy("kind", "part").orderBy("h", "value"))).where(F.col("k") <= sample)
     best = near.withColumn("k", F.row_number().over(Window.partitionBy("kind").orderBy("h", "value"))).where(F.col("k") <= sample)
-    by: dict[str, list[str]] = {}
-    for r in best.select("kind", "value").collect():  # at most ``sample`` rows a kind
-        by.setdefault(r["kind"], []).append(r["value"])
-    return {k: infer(v) for k, v in sorted(by.items()) if len(v) >= 5}
+    by: dict[str, set[str]] = {}
+    for r in best.select("value").collect():  # at most ``sample`` rows a kind
+        by.setdefault(alphabet(r["value"]), set()).add(r["value"])
+    return {k: infer(sorted(v)) for k, v in sorted(by.items()) if len(v) >= LABELLED}
 
 
 class _Ranges:
@@ -224,7 +255,7 @@ class _Ranges:
 
 def best_ranges(run: str, parts: list[tuple[int, int]], automata: list[Automaton]) -> list[tuple[int, int]]:
     """Disjoint ranges of neighbouring parts that some automaton takes, with most characters in all; start and end in the run."""
-    codes, n = coded(run), len(parts)
+    n = len(parts)
     ready = [len(run) + 1] * (n + 1)  # where a range from each part on has a letter, a digit and LEAST characters
     digit = letter = len(run) + 1
     for i in range(n - 1, -1, -1):
@@ -251,9 +282,9 @@ def best_ranges(run: str, parts: list[tuple[int, int]], automata: list[Automaton
                     continue
                 moved: dict[int, _Ranges] = {}
                 for state, group in groups.items():
-                    to = x.step[state].get(codes[at])
+                    to = x.step[state].get(run[at])
                     if to is not None:
-                        group.past += to[1] - math.log(WIDTH.get(codes[at], 1)) - x.least
+                        group.past += to[1] - x.least
                         if to[0] in moved:
                             moved[to[0]].join(group)
                         else:
