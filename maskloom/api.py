@@ -1,6 +1,6 @@
-"""Functions on single strings, for interactive use; each is the DataFrame operator on one row.
+"""Functions on single strings, for interactive use: the engine that the DataFrame operators run, without Spark.
 
-A ``Session`` keeps the latest vault, as rows; masking again replaces it, ``wipe`` forgets it. Nothing is written.
+A ``Session`` keeps the latest vault; masking again replaces it, ``wipe`` forgets it. Nothing is written.
 """
 
 from __future__ import annotations
@@ -8,108 +8,91 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from typing import Any
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import functions as F
-
-from .functions.columns import SPAN
-from .functions.patterns import KEYWORDS
-from .functions.substitutes import Spark, day_offset, digest, normalized, substitute
-from .operators import chunk, detect, mask, unmask
-
-NO_SPANS = f"array<{SPAN}>"
+from .functions import engine
+from .functions.columns import replaced
+from .functions.engine import Detection, Recognizer, Span
+from .functions.patterns import KEYWORDS, dictionary
+from .functions.substitutes import normalized, substitute
+from .operators import chunk, detect, mask
 
 
 class Session:
     """Masks texts and restores replies with the vault of the last masked text."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.reverse, self.session_id = spark, None, ""
-
-    def _doc(self, text: str) -> DataFrame:
-        return self.spark.createDataFrame([(1, self.session_id, text)], "doc_id bigint, session_id string, text string")
+    def __init__(self, recognizers: Iterable[Recognizer] = ()):
+        self.recognizers, self.pairs = tuple(recognizers), None
 
-    def _masked(self, text: str, **options: Any) -> str:
-        self.session_id = uuid.uuid4().hex
-        row = mask.mask_pipeline(self._doc(text), **options).select("doc_id", "session_id", "spans", "masked").first()
-        one = self.spark.createDataFrame([(1, self.session_id, row.spans)], f"doc_id bigint, session_id string, spans {mask.SUB}")
-        rows = mask.reverse_vault(mask.vault(one)).collect()
-        self.reverse = self.spark.createDataFrame(rows, "session_id string, substitute string, original string, norm_type string")
-        return row.masked
+    def _masked(self, text: str, resolve: Callable[..., list[Span]], *more: str) -> str:
+        subs = replaced(resolve(text, *more), uuid.uuid4().hex, mask.as_name)
+        self.pairs = engine.Pairs({sub: (sub, original, kind) for _, _, kind, original, sub in reversed(subs)}.values())
+        return engine.stitch(text, ((a, b, sub) for a, b, _, _, sub in subs))
 
     def mask_text(self, text: str) -> str:
-        return self._masked(text)
+        return self._masked(text, mask.resolver(recognizers=self.recognizers))
 
     def mask_with_rules_json(self, text: str, rules: str) -> str:
-        return self._masked(text, rules=mask.rules_from_json(rules))
+        return self._masked(text, mask.resolver(mask.rules_from_json(rules), recognizers=self.recognizers))
 
     def mask_with_keywords_json(self, text: str, keywords: str) -> str:
-        return self._masked(text, keywords=mask.keywords_from_json(keywords))
+        return self._masked(text, mask.resolver(keywords=mask.keywords_from_json(keywords), recognizers=self.recognizers))
 
     def mask_with_ner_json(self, text: str, entities: str, keywords: str = "[]", mock: bool = True) -> str:
-        return self._masked(text, entities=F.lit(entities), keywords=mask.keywords_from_json(keywords), mock=mock)
+        return self._masked(text, mask.resolver(mock=mock, keywords=mask.keywords_from_json(keywords), recognizers=self.recognizers), entities)
 
     def mask_text_profiled(self, text: str) -> str:
         """JSON: text, mask_ms, input_len, output_len (bytes)."""
         began = time.time()
-        out = self._masked(text)
+        out = self.mask_text(text)
         return json.dumps({"text": out, "mask_ms": int(1000 * (time.time() - began)), "input_len": len(text.encode()), "output_len": len(out.encode())}, ensure_ascii=False)
 
     def mask_summary(self, text: str) -> str:
-        return mask.mask_summary(self._doc(text)).first().summary
-
-    def _reply(self, text: str) -> DataFrame:
-        return self.spark.createDataFrame([(1, self.session_id, text)], "reply_id bigint, session_id string, text string")
+        kinds = [s[0] for s in mask.resolver(recognizers=self.recognizers)(text)]
+        names = sum(k in ("PERSON", "NAME") for k in kinds)
+        return f"Hidden: {names} name{'' if names == 1 else 's'}, {kinds.count('PAN')} PAN, {kinds.count('AADHAAR')} Aadhaar"
 
     def unmask_reply(self, text: str) -> str:
-        return text if self.reverse is None else unmask.unmask_exact(self._reply(text), self.reverse).first().exact
+        return text if self.pairs is None else self.pairs.exact(text)
 
     def unmask_reply_json(self, text: str) -> str:
-        if self.reverse is None:
-            return json.dumps({"text": text, "fuzzy_spans": []}, ensure_ascii=False)
-        return unmask.unmask_json(self._reply(text), self.reverse).first().json
+        exact = self.unmask_reply(text)
+        out, spans = engine.revealed(exact, self.pairs.fuzzy(exact) if self.pairs else [])
+        named = [dict(zip(("utf16_start", "utf16_end", "masked", "revealed"), s, strict=True)) for s in spans]
+        return json.dumps({"text": out, "fuzzy_spans": named}, ensure_ascii=False)
 
     def wipe(self) -> None:
-        self.reverse, self.session_id = None, ""
-
-
-def _rows(spark: SparkSession, text: str, column: Any) -> list[Row]:
-    doc = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    return detect.exploded(doc, column).drop("doc_id").collect()
+        self.pairs = None
 
 
-def scan_text(spark: SparkSession, text: str) -> list[Row]:
-    return _rows(spark, text, detect.detections(F.col("text")))
+def scan_text(text: str) -> list[Detection]:
+    return engine.detections(text)
 
 
-def scan_valid_text(spark: SparkSession, text: str) -> list[Row]:
-    return [r for r in scan_text(spark, text) if r.is_valid]
+def scan_valid_text(text: str) -> list[Detection]:
+    return [d for d in scan_text(text) if d[4]]
 
 
-def detect_keywords(spark: SparkSession, text: str, words: tuple[str, ...] = KEYWORDS) -> list[Row]:
-    return _rows(spark, text, detect.dictionary_spans(F.col("text"), words))
+def detect_keywords(text: str, words: Iterable[str] = KEYWORDS) -> list[Span]:
+    return detect.by_dictionary(text, dictionary(list(words)))
 
 
-def chunk_text(spark: SparkSession, text: str, size: int = chunk.CHUNK, overlap: int = chunk.OVERLAP) -> list[Row]:
-    doc = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    return chunk.chunks(doc, size, overlap).drop("doc_id").orderBy("start_token").collect()
+def chunk_text(text: str, size: int = chunk.CHUNK, overlap: int = chunk.OVERLAP) -> list[tuple[int, int, int, str]]:
+    """First token, token after the last, first byte, text of each chunk."""
+    return list(engine.chunks(text, size, overlap))
 
 
-def tier4_detect(spark: SparkSession, text: str) -> list[Row]:
-    """Spans of a long text; a text over the limit of tokens is an error."""
-    doc = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    rows = chunk.tier4_detect(doc).drop("doc_id").orderBy("start").collect()
-    if rows and rows[0].error:
-        raise ValueError(rows[0].error)
-    return rows
+def tier4_detect(text: str, words: Iterable[str] = KEYWORDS) -> list[tuple[object, ...]]:
+    """entity_type, start, end, value, source of the spans of a long text; a text over the limit of tokens is an error."""
+    rows = chunk.long_spans(text, dictionary(list(words)))
+    if rows and rows[0][-1]:
+        raise ValueError(rows[0][-1])
+    return [r[:-1] for r in rows]
 
 
-def redact_pii(spark: SparkSession, text: str, mark: str = "X") -> str:
-    return mask.redact_pii(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), mark).first().redacted
+def redact_pii(text: str, mark: str = "X") -> str:
+    return engine.redact(text, mark)
 
 
-def generate_substitute(spark: SparkSession, kind: str, original: str, salt: str = "") -> str:
-    one = spark.createDataFrame([(salt, kind, original)], "salt string, kind string, o string").selectExpr("salt", f"{normalized('kind')} AS k", "o")
-    one = one.selectExpr("salt", "k", "o", f"{digest('salt', 'k', 'o', Spark)} AS h")
-    return one.selectExpr(f"{substitute('k', 'o', 'h', day_offset('salt', Spark), Spark)} AS s").first().s
+def generate_substitute(kind: str, original: str, salt: str = "") -> str:
+    return substitute(normalized(kind), original, salt)

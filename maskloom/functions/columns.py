@@ -1,136 +1,132 @@
-"""Column expressions: checksums, span extraction with byte offsets, span arrays, substitutes. All JVM-side."""
+"""Column functions: the engine on Arrow batches. Each is one narrow pass; a text never leaves its row, and nothing is kept between rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-SPAN = "struct<entity_type: string, start: int, end: int, value: string, confidence: float, source: string>"
-
-
-def digits(c: Column) -> Column:
-    return F.regexp_replace(c, "[^0-9]", "")
+from . import engine
+from .substitutes import day_offset, normalized, substitute
 
+SPAN = "struct<entity_type: string, start: int, end: int, value: string, confidence: float, source: string>"
+DETECTION = "struct<entity_type: string, start: int, end: int, value: string, is_valid: boolean>"
+MATCH = "struct<start: int, end: int, value: string>"
+SUB = "array<struct<start: int, end: int, entity_type: string, original: string, sub: string>>"
 
-def luhn(c: Column) -> Column:
-    """Whether the ASCII digits pass the Luhn check; no digits: false."""
-    d = digits(c)
-    doubled = F.transform(F.split(F.reverse(d), ""), lambda x, i: F.when(i % 2 == 1, x.cast("int") * 2 - F.when(x.cast("int") > 4, 9).otherwise(0)).otherwise(x.cast("int")))
-    return (d != "") & (F.aggregate(doubled, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0)
 
+def arrow_type(ddl: str) -> pa.DataType:
+    return to_arrow_type(T._parse_datatype_string(ddl) if isinstance(ddl, str) else ddl)
 
-def verhoeff_tables() -> tuple[list[int], list[int]]:
-    """Multiplication in the dihedral group of order 10, row by row, and the eight powers of the check's permutation."""
 
-    def times(a: int, b: int) -> int:
-        if a < 5:
-            return (a + b) % 5 if b < 5 else (a + b - 5) % 5 + 5
-        return (a - 5 - b) % 5 + 5 if b < 5 else (a - b) % 5
+def lists(rows: Sequence[Iterable[tuple[Any, ...]] | None], kind: pa.DataType) -> pa.Array:
+    """array<struct> of tuples; None is null."""
+    own = [list(r) if r is not None else None for r in rows]
+    flat = [x for r in own if r is not None for x in r]
+    ends, at = [0], 0
+    for r in own:
+        at += len(r) if r is not None else 0
+        ends.append(at)
+    fields = list(kind.value_type)
+    columns = list(zip(*flat, strict=True)) if flat else [()] * len(fields)
+    items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    mask = pa.array([r is None for r in own]) if any(r is None for r in own) else None
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, type=kind, mask=mask)
 
-    turn = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
-    powers = [list(range(10))]
-    for _ in range(7):
-        powers.append([powers[-1][turn[k]] for k in range(10)])
-    return [times(a, b) for a in range(10) for b in range(10)], [x for row in powers for x in row]
 
+def per_text(make: Callable[..., Iterable[tuple[Any, ...]]], item: str) -> Callable[..., Column]:
+    """A column function from a text (and other columns) to an array of tuples; a null text gives an empty array."""
+    kind = arrow_type(f"array<{item}>")
 
-def verhoeff(c: Column) -> Column:
-    """Whether the ASCII digits pass the Verhoeff check; no digits: true."""
-    product, power = (F.array(*map(F.lit, t)) for t in verhoeff_tables())
-    d = digits(c)
-    mapped = F.transform(F.split(F.reverse(d), ""), lambda x, i: F.element_at(power, (i % 8 * 10 + x.cast("int") + 1).cast("int")))
-    return (d == "") | (F.aggregate(mapped, F.lit(0), lambda a, x: F.element_at(product, (a * 10 + F.coalesce(x, F.lit(0)) + 1).cast("int"))) == 0)
+    @F.arrow_udf(f"array<{item}>")
+    def run(*columns: pa.Array) -> pa.Array:
+        return lists([make(*row) if row[0] is not None else [] for row in zip(*(c.to_pylist() for c in columns), strict=True)], kind)
 
+    return run
 
-def valid(c: Column, check: str) -> Column:
-    return luhn(c) if check == "luhn" else verhoeff(c) if check == "verhoeff" else F.lit(True)
 
+def matches(text: Column, pattern: str) -> Column:
+    """All matches with UTF-8 byte offsets: array<struct<start, end, value>>; empty ones are dropped."""
+    return per_text(lambda t: engine.found(t, engine.Places(t), pattern), MATCH)(text)
 
-#: Elements that one fold appends; appending copies, so folds over many elements go block by block.
-BLOCK = 64
 
+def token_spans(text: Column) -> Column:
+    """Maximal runs without white space, with byte offsets."""
+    return per_text(engine.tokens, MATCH)(text)
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is evaluated once however often the body names it, also inside lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
 
+def _tuples(own: list[dict[str, Any]] | None) -> list[tuple[Any, ...]]:
+    return [tuple(x.values()) for x in own or []]
 
-def running(own: Column, none: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Fold an array with the state struct<at: int, out: array>, block by block; ``step`` returns the next state."""
-    last = F.floor((F.size(own) - 1) / BLOCK).cast("int")
-    blocks = lambda p: F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(p, k * BLOCK + 1, F.lit(BLOCK)))
 
-    def whole(acc: Column, block: Column) -> Column:
-        inner = F.aggregate(block, F.struct(acc["at"].alias("at"), none.alias("out")), step)
-        return bound(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], i["out"]).alias("out")))
+def merge_array(own: Column) -> Column:
+    """Of each chain of overlapping spans the best one; see ``engine.merge``."""
+    return per_text(lambda own: engine.merge(_tuples(own)), SPAN)(own)
 
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(own) > 0, F.aggregate(blocks(own), start, whole, lambda acc: acc["out"])).otherwise(none)
 
+def _same_kind(run: Callable[[list[dict[str, Any]], Any], list[dict[str, Any]]], own: Column, kind: str, *more: Column) -> Column:
+    made = arrow_type(kind)
 
-def matches(text: Column, pattern: str) -> Column:
-    """All matches with UTF-8 byte offsets: array<struct<start, end, value>>. The pattern must not match the empty string."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start: int, end: int, value: string>>")
+    @F.arrow_udf(kind)
+    def each(*columns: pa.Array) -> pa.Array:
+        return pa.array([None if r is None else run(r, *x) for r, *x in zip(*(c.to_pylist() for c in columns), strict=True)], made)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.octet_length(x["gap"])
-        end = begin + F.octet_length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out"))
+    return each(own, *more)
 
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("value"), g.alias("gap")))
-    return F.when(text.rlike(pattern), bound(pairs, lambda p: running(p, empty, step))).otherwise(empty)
 
+def not_contained(own: Column, kind: str) -> Column:
+    """Spans of an array (of type ``kind``, with start and end) that no other strictly contains."""
+    return _same_kind(lambda r: engine.not_contained(r, "start", "end"), own, kind)
 
-def byte_slice(text: Column, start: Column, end: Column) -> Column:
-    """The text between two byte offsets."""
-    return F.decode(F.substring(text.cast("binary"), start + 1, end - start), "UTF-8")
 
+def greedy(own: Column, size: Column, kind: str) -> Column:
+    """The stand-alone masker's choice of spans of an array whose elements have start, end and ord."""
+    return _same_kind(lambda r, n: engine.greedy(sorted(r, key=lambda s: s["ord"]), n, "start", "end"), own, kind, size)
 
-def spans(text: Column, pattern: str, entity: str, source: str, confidence: float) -> Column:
-    """Matches as spans of one type."""
-    return F.transform(matches(text, pattern), lambda m: F.struct(F.lit(entity).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.lit(confidence).cast("float").alias("confidence"), F.lit(source).alias("source")))
 
+def stitch(text: Column, replacements: Column) -> Column:
+    """``text`` with disjoint byte ranges (array<struct<start, end, ..., sub>>, in order) replaced."""
 
-def priority(source: Column) -> Column:
-    return F.when(source == "UserRule", 3).when(source == "Regex", 2).when(source == "Keyword", 1).otherwise(0)
+    @F.arrow_udf("string")
+    def run(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else engine.stitch(t, ((x["start"], x["end"], x["sub"]) for x in r or ())) for t, r in zip(texts.to_pylist(), ranges.to_pylist(), strict=True)], pa.string())
 
+    return run(text, replacements)
 
-def merge_array(own: Column) -> Column:
-    """Of each chain of overlapping spans the best one: longest, then source, then start, then end, then type.
 
-    One fold over the spans in order of start; no shuffle. Empty spans are dropped first.
-    """
-    usable = F.filter(own, lambda x: x["start"] < x["end"])
-    keyed = F.transform(usable, lambda x: F.struct(x["start"].alias("a"), (-x["end"]).alias("b"), (-priority(x["source"])).alias("c"), x["entity_type"].alias("d"), F.struct((x["start"] - x["end"]).alias("l"), (-priority(x["source"])).alias("p"), x["start"].alias("s"), (-x["end"]).alias("e"), x["entity_type"].alias("t")).alias("rank"), x.alias("x")))
-    ordered = F.array_sort(keyed)
-    none = F.filter(ordered, lambda k: F.lit(False))
-    zero = F.struct(F.lit(-1).alias("edge"), none.alias("out"))
+def substituted(kind: Column, original: Column, salt: Column) -> Column:
+    """The substitute of each original; null originals have none."""
 
-    def step(acc: Column, k: Column) -> Column:
-        last = F.element_at(acc["out"], -1)
-        chained = (F.size(acc["out"]) > 0) & (k["a"] < acc["edge"])
-        better = k["rank"] < last["rank"]
-        out = F.when(~chained, F.array_append(acc["out"], k)).when(better, F.array_append(F.slice(acc["out"], F.lit(1), F.size(acc["out"]) - 1), k)).otherwise(acc["out"])
-        return F.struct(F.when(chained, F.greatest(acc["edge"], k["x"]["end"])).otherwise(k["x"]["end"]).alias("edge"), out.alias("out"))
+    @F.arrow_udf("string")
+    def run(kinds: pa.Array, originals: pa.Array, salts: pa.Array) -> pa.Array:
+        return pa.array([None if o is None else substitute(normalized(k or ""), o, s) for k, o, s in zip(kinds.to_pylist(), originals.to_pylist(), salts.to_pylist(), strict=True)], pa.string())
 
-    return F.transform(F.aggregate(ordered, zero, step, lambda acc: acc["out"]), lambda k: k["x"])
+    return run(kind, original, salt.cast("string"))
 
 
-def stitch(text: Column, replacements: Column) -> Column:
-    """``text`` with disjoint byte ranges (array<struct<start, end, sub>> in order) replaced; ranges that don't fit are skipped."""
-    size = F.octet_length(text)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def replaced(spans: Iterable[tuple[str, int, int, str]], salt: str | None, name: Callable[[str], str] = str) -> list[tuple[int, int, str, str, str]]:
+    """start, end, normalized type, original, substitute of spans (type, start, end, value)."""
+    days = day_offset(salt)
+    return [(s[1], s[2], k := normalized(name(s[0])), s[3], substitute(k, s[3], salt, days)) for s in spans]
 
-    def step(acc: Column, r: Column) -> Column:
-        fits = (r["start"] >= acc["at"]) & (r["end"] <= size) & (r["start"] <= r["end"])
-        return F.struct(F.when(fits, r["end"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.concat(acc["out"], byte_slice(text, acc["at"], r["start"]), r["sub"])).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(replacements, zero, step, lambda acc: F.concat(acc["out"], byte_slice(text, acc["at"], size)))
+def masked(resolve: Callable[..., Iterable[tuple[Any, ...]]], text: Column, salt: Column, *more: Column, name: Callable[[str], str] = str) -> Column:
+    """struct<spans, masked>: ``resolve`` (text and the columns ``more``) gives the disjoint spans of a text, which get substitutes."""
+    kind = arrow_type(SUB)
 
+    @F.arrow_udf(f"struct<spans: {SUB}, masked: string>")
+    def run(texts: pa.Array, salts: pa.Array, *others: pa.Array) -> pa.Array:
+        spans: list[Any] = []
+        out: list[str | None] = []
+        for t, s, *own in zip(texts.to_pylist(), salts.to_pylist(), *(c.to_pylist() for c in others), strict=True):
+            subs = replaced(resolve(t, *own), s, name) if t is not None else []
+            spans.append(subs)
+            out.append(None if t is None else engine.stitch(t, ((a, b, sub) for a, b, _, _, sub in subs)))
+        return pa.StructArray.from_arrays([lists(spans, kind), pa.array(out, pa.string())], ["spans", "masked"])
 
-def replace_all_folded(text: Column, pairs: Column) -> Column:
-    """Replace substitutes by originals one pair after the other, in the pairs' order (array<struct<sub, orig>>); empty ones are skipped."""
-    return F.aggregate(pairs, text, lambda t, p: F.when(p["sub"] == "", t).otherwise(F.replace(t, p["sub"], p["orig"])))
+    return run(text, salt.cast("string"), *more)

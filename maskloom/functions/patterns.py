@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import regex
+
 #: Entity types and the patterns that define them. Validity: how a match is checked.
 DETECTORS: dict[str, tuple[str, str]] = {
     "AADHAAR": (r"\b\d{4}\s?\d{4}\s?\d{4}\b", "verhoeff"),
@@ -38,11 +40,6 @@ PRIORITY = {"UserRule": 3, "Regex": 2, "Keyword": 1, "NER": 0}
 TOKEN, FUZZY_TOKEN = r"\S+", r"[A-Za-z0-9@._+\-]{3,}"
 
 
-def java(pattern: str) -> str:
-    """The pattern with Unicode-aware classes, as the JVM needs it said."""
-    return "(?U)" + pattern
-
-
 def keyword_rule(word: str) -> str | None:
     """A whole-word, case-insensitive pattern; None for a blank keyword."""
     word = word.strip()
@@ -60,7 +57,7 @@ def usable_rule(pattern: str) -> bool:
     if re.search(r"\(\?(?:[=!]|<[=!])|\\[1-9]", pattern):
         return False
     try:
-        re.compile(pattern)
-    except re.error:
+        regex.compile(pattern)
+    except regex.error:
         return False
     return True

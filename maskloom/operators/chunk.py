@@ -1,47 +1,43 @@
-"""Tokens, overlapping chunks, and detection in long documents chunk by chunk."""
+"""Tokens, overlapping chunks, and detection in long documents chunk by chunk. Narrow: a document is resolved in its row.
+
+Defined results: null and blank texts have no tokens, chunks or spans; equal texts have equal results; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import byte_slice, matches
-from ..functions.patterns import KEYWORDS, TOKEN, java
-from .detect import dictionary_spans, regex_spans
-from .spans import merge_spans
+from ..functions import engine
+from ..functions.columns import per_text
+from ..functions.patterns import KEYWORDS, dictionary
+from .detect import by_dictionary
 
 MOST_TOKENS, CHUNK, OVERLAP = 50_000, 512, 64
 TOO_LONG = "Input exceeds maximum token limit"
 
 
-def token_spans(text: Column) -> Column:
-    """Maximal runs without white space, with byte offsets."""
-    return matches(text, java(TOKEN))
-
-
 def chunks(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, start_token, end_token, start (byte), text of each chunk."""
-    if size <= 0:
-        return docs.select("doc_id", F.lit(0).alias("start_token"), F.lit(0).alias("end_token"), F.lit(0).alias("start"), "text").where(F.lit(False))
-    step = max(size - overlap, 1)
-    own = docs.withColumn("_t", token_spans(F.col("text"))).withColumn("_n", F.size("_t")).where("_n > 0")
-    last = F.when(F.col("_n") <= size, 0).otherwise(F.ceil((F.col("_n") - size) / step)).cast("int")
-    own = own.withColumn("_k", F.explode(F.sequence(F.lit(0), last)))
-    own = own.withColumn("start_token", F.col("_k") * step).withColumn("end_token", F.least(F.col("start_token") + size, F.col("_n")))
-    own = own.withColumn("start", F.get("_t", F.col("start_token"))["start"]).withColumn("_e", F.get("_t", F.col("end_token") - 1)["end"])
-    return own.select("doc_id", "start_token", "end_token", "start", byte_slice(F.col("text"), F.col("start"), F.col("_e")).alias("text"))
+    own = per_text(lambda t: engine.chunks(t, size, overlap), "struct<start_token: int, end_token: int, start: int, text: string>")
+    return docs.select("doc_id", F.inline(own(F.col("text"))))
+
+
+def long_spans(text: str, pattern: str | None, size: int = CHUNK, overlap: int = OVERLAP, most: int = MOST_TOKENS) -> list[tuple[object, ...]]:
+    """entity_type, start, end, value, source, error of the merged spans of all chunks; over the limit one row with the error."""
+    tokens = engine.tokens(text)
+    if len(tokens) > most:
+        return [(None, None, None, None, None, TOO_LONG)]
+    own = set()
+    for _, _, base, part in engine.chunks(text, size, overlap, tokens):
+        own |= {(s[0], s[1] + base, s[2] + base, s[3], s[4], s[5]) for s in engine.regex_spans(part) + by_dictionary(part, pattern)}
+    return [(s[0], s[1], s[2], s[3], s[5], None) for s in engine.merge(own)]
 
 
 def tier4_detect(docs: DataFrame, words: Iterable[str] = KEYWORDS, size: int = CHUNK, overlap: int = OVERLAP, most: int = MOST_TOKENS) -> DataFrame:
     """doc_id, entity_type, start, end, value, source of the merged spans of all chunks; a document over the limit is one row with ``error``."""
-    sized = docs.withColumn("_n", F.size(F.split(F.trim("text"), java(r"\s+"))))
-    text = F.col("text")
-    found = chunks(sized.where(F.col("_n") <= most).drop("_n"), size, overlap)
-    rows = found.select("doc_id", F.col("start").alias("_base"), F.explode(F.concat(regex_spans(text), dictionary_spans(text, words))).alias("s"))
-    rows = rows.select("doc_id", "s.entity_type", (F.col("s.start") + F.col("_base")).alias("start"), (F.col("s.end") + F.col("_base")).alias("end"), "s.value", "s.source")
-    merged = merge_spans(rows).withColumn("error", F.lit(None).cast("string"))
-    none = lambda kind: F.lit(None).cast(kind)
-    over = sized.where(F.col("_n") > most).select("doc_id", none("string").alias("entity_type"), none("int").alias("start"), none("int").alias("end"), none("string").alias("value"), none("string").alias("source"), F.lit(TOO_LONG).alias("error"))
-    return merged.unionByName(over)
+    pattern = dictionary(list(words))
+    own = per_text(lambda t: long_spans(t, pattern, size, overlap, most), "struct<entity_type: string, start: int, end: int, value: string, source: string, error: string>")
+    return docs.select("doc_id", F.inline(own(F.col("text"))))

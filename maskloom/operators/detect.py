@@ -1,37 +1,22 @@
-"""Detectors: documents to spans. One narrow pass each; all matches are kept, overlaps are resolved elsewhere."""
+"""Detectors: documents to spans. One narrow Arrow pass each; all matches are kept, overlaps are resolved elsewhere."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable, Iterator
-from typing import Any, Protocol
+from collections.abc import Iterable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import SPAN, byte_slice, digits, matches, spans, valid, verhoeff
-from ..functions.patterns import DETECTORS, KEYWORDS, MOCK_ORG, MOCK_PERSON, VARIANTS, dictionary, java, keyword_rule, usable_rule
-
-NO_SPANS = f"array<{SPAN}>"
-
-
-class Recognizer(Protocol):
-    """The plug-in point for named-entity recognition: documents in, rows (doc_id, entity_type, start, end, value, confidence, source) out."""
-
-    def __call__(self, docs: DataFrame) -> DataFrame: ...
+from ..functions import engine
+from ..functions.columns import DETECTION, SPAN, per_text
+from ..functions.engine import Recognizer, Span
+from ..functions.patterns import DETECTORS, KEYWORDS, VARIANTS, dictionary, keyword_rule, usable_rule
 
 
 def detections(text: Column, entities: Iterable[str] | None = None) -> Column:
     """All pattern detections of a text with their validity, ordered by detector, then place."""
-
-
-    def one(name: str) -> Column:
-        pattern, check = DETECTORS[name]
-        return F.transform(matches(text, java(pattern)), lambda m: F.struct(F.lit(name).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), valid(m["value"], check).alias("is_valid")))
-
-    return F.flatten(F.array(*map(one, entities or DETECTORS)))
+    names = tuple(entities or DETECTORS)
+    return per_text(lambda t: engine.detections(t, names), DETECTION)(text)
 
 
 def scan_text(docs: DataFrame, entities: Iterable[str] | None = None) -> DataFrame:
@@ -46,64 +31,50 @@ def scan_valid_text(docs: DataFrame, entities: Iterable[str] | None = None) -> D
 
 def regex_spans(text: Column) -> Column:
     """Valid, non-empty detections as spans of source Regex."""
-    kept = F.filter(detections(text), lambda d: d["is_valid"] & (d["start"] < d["end"]))
-    return F.transform(kept, lambda d: F.struct(d["entity_type"].alias("entity_type"), d["start"].alias("start"), d["end"].alias("end"), d["value"].alias("value"), F.lit(1.0).cast("float").alias("confidence"), F.lit("Regex").alias("source")))
+    return per_text(engine.regex_spans, SPAN)(text)
 
 
 def mock_org(text: Column) -> Column:
-    return spans(text, java(MOCK_ORG), "ORG", "NER", 0.85)
+    return per_text(engine.mock_org, SPAN)(text)
 
 
 def mock_person(text: Column) -> Column:
-    return F.filter(spans(text, java(MOCK_PERSON), "PERSON", "NER", 0.70), lambda s: s["value"] != "Bank")
+    return per_text(engine.mock_person, SPAN)(text)
 
 
-def mock_spans(text: Column) -> Column:
-    """The mock recognizer: organizations, then every capitalized word but ``Bank``."""
-    return F.concat(mock_org(text), mock_person(text))
+def recognized(text: Column, recognizer: Recognizer = engine.mock_ner) -> Column:
+    """What a recognizer finds in each text; the default is the mock recognizer. It is sent to the workers as it is."""
+    return per_text(lambda t: engine.recognized(t, recognizer, engine.Places(t)), SPAN)(text)
 
 
-def rule_spans(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
-    """User rules (pattern, type); rules outside the dialect are skipped, rules that may match nothing go through an Arrow UDF."""
-    out = [F.array().cast(NO_SPANS)]
-    for pattern, kind in rules:
-        if usable_rule(pattern):
-            out.append(_careful(pattern, kind)(text) if may_match_nothing(pattern) else spans(text, java(pattern), kind, "UserRule", 1.0))
-    return F.concat(*out)
+def usable(rules: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Rules (pattern, type) in the supported dialect; others are skipped."""
+    return [(p, k) for p, k in rules if usable_rule(p)]
 
 
-def may_match_nothing(pattern: str) -> bool:
-    """Whether a pattern matches without a character, in an empty text or at a word's edge."""
-    rule = re.compile(pattern)
-    return any(m.end() == m.start() for t in ("", " a ", " 1 ", "\n") for m in rule.finditer(t))
+def keyword_rules(keywords: Iterable[str]) -> list[tuple[str, str]]:
+    return [(p, "KEYWORD") for p in map(keyword_rule, keywords) if p]
 
 
-def _careful(pattern: str, kind: str) -> Any:
-    """Spans of a pattern that can match the empty string; empty matches are dropped."""
-    rule = re.compile(pattern)
+def by_rules(text: str, rules: list[tuple[str, str]], places: engine.Places | None = None) -> list[Span]:
+    places = places or engine.Places(text)
+    return [s for p, k in rules for s in engine.pattern_spans(text, p, k, "UserRule", places=places)]
 
-    def find(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            own = []
-            for m in rule.finditer(t or ""):
-                if m.end() > m.start():
-                    a = len(t[: m.start()].encode())
-                    own.append({"entity_type": kind, "start": a, "end": a + len(m[0].encode()), "value": m[0], "confidence": 1.0, "source": "UserRule"})
-            out.append(own)
-        return pd.Series(out)
 
-    return F.pandas_udf(find, NO_SPANS)
+def rule_spans(text: Column, rules: Iterable[tuple[str, str]]) -> Column:
+    """Matches of user rules (pattern, type); rules outside the dialect are skipped, empty matches dropped."""
+    own = usable(rules)
+    return per_text(lambda t: by_rules(t, own), SPAN)(text)
 
 
-def keyword_rules(keywords: Iterable[str]) -> list[tuple[str, str]]:
-    return [(p, "KEYWORD") for p in map(keyword_rule, keywords) if p]
+def by_dictionary(text: str, pattern: str | None) -> list[Span]:
+    return engine.pattern_spans(text, pattern, "KEYWORD", "Keyword") if pattern else []
 
 
 def dictionary_spans(text: Column, words: Iterable[str] = KEYWORDS) -> Column:
     """Dictionary terms, leftmost and longest first, anywhere in a word."""
     pattern = dictionary(list(words))
-    return spans(text, pattern, "KEYWORD", "Keyword", 1.0) if pattern else F.array().cast(NO_SPANS)
+    return per_text(lambda t: by_dictionary(t, pattern), SPAN)(text)
 
 
 def entity_spans(text: Column, entities: Column) -> Column:
@@ -111,14 +82,7 @@ def entity_spans(text: Column, entities: Column) -> Column:
 
     One malformed element voids the list. Offsets outside the text, empty ranges and ranges that cut a character are dropped.
     """
-    kind = "array<struct<label: string, start: bigint, end: bigint, confidence: float>>"
-    parsed = F.from_json(entities, kind)
-    good = F.forall(parsed, lambda e: e["label"].isNotNull() & e["start"].isNotNull() & e["end"].isNotNull())
-    size = F.octet_length(text)
-    whole = lambda at: ~F.hex(F.substring(text.cast("binary"), at.cast("int") + 1, F.lit(1))).between("80", "BF")
-    own = F.filter(F.when(good, parsed), lambda e: (e["start"] >= 0) & (e["start"] < e["end"]) & (e["end"] <= size) & whole(e["start"]) & whole(e["end"]))
-    made = F.transform(own, lambda e: F.struct(e["label"].alias("entity_type"), e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), byte_slice(text, e["start"].cast("int"), e["end"].cast("int")).alias("value"), F.coalesce(e["confidence"], F.lit(1.0).cast("float")).alias("confidence"), F.lit("NER").alias("source")))
-    return F.coalesce(made, F.array().cast(NO_SPANS))
+    return per_text(engine.entity_spans, SPAN)(text, entities)
 
 
 def exploded(docs: DataFrame, own: Column) -> DataFrame:
@@ -126,36 +90,19 @@ def exploded(docs: DataFrame, own: Column) -> DataFrame:
     return docs.select("doc_id", F.explode(own).alias("s")).select("doc_id", "s.*")
 
 
-def variant_matches(text: Column, name: str) -> Column:
-    """Strings that the variant detectors return; Aadhaar numbers are cleaned and checked."""
-    found = F.regexp_extract_all(text, F.lit(java(VARIANTS[name])), F.lit(0))
-    if name == "AADHAAR":
-        return F.filter(F.transform(found, digits), lambda d: (F.length(d) == 12) & verhoeff(d))
-    return found
+def variant_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, detector, value of what the variant detectors return."""
+    own = per_text(lambda t: [(n, v) for n in VARIANTS for v in engine.variant_matches(t, n)], "struct<detector: string, value: string>")
+    return exploded(docs, own(F.col("text")))
 
 
 def detected_types(text: Column) -> Column:
     """Names of the variant detectors that find something, in fixed order."""
-    return F.array_compact(F.array(*(F.when(F.size(variant_matches(text, n)) > 0, F.lit(n)) for n in VARIANTS)))
+    own = per_text(lambda t: [(n,) for n in VARIANTS if engine.variant_matches(t, n)], "struct<name: string>")
+    return own(text)["name"]
 
 
 def variant_report(cases: DataFrame) -> DataFrame:
     """Cases (text, expect; INVALID: nothing is to be found) with what the variant detectors find and whether that is right."""
     found = cases.withColumn("found", F.array_join(detected_types(F.col("text")), ","))
     return found.withColumn("passed", F.when(F.col("expect") == "INVALID", F.col("found") == "").otherwise(F.array_contains(F.split("found", ","), F.col("expect"))))
-
-
-def scan_by_arrow(docs: DataFrame) -> DataFrame:
-    """``scan_text`` without validity in one Arrow pass; the same rows, for long lists of patterns."""
-    import regex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [(n, regex.compile(p)) for n, (p, _) in DETECTORS.items()]
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for n, p in own:
-                    rows += [(i, n, len(t[: m.start()].encode()), len(t[: m.end()].encode()), m[0]) for m in p.finditer(t or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], ["doc_id", "entity_type", "start", "end", "value"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, entity_type string, start int, end int, value string")

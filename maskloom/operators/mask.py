@@ -1,7 +1,10 @@
-"""Masking: detect, resolve overlaps, substitute. Narrow: a text never leaves its row.
+"""Masking: detect, resolve overlaps, substitute. Narrow: one Arrow pass, a text never leaves its row.
 
-A session is the column ``session_id``; substitutes are functions of (salt, session, type, original), so the vault of a
+A session is the column ``session_id``; substitutes are functions of (session, type, original), so the vault of a
 session is the distinct rows of what was masked, and masking needs no lookup. Nothing here writes the vault anywhere.
+
+Defined results: a null text stays null and has no spans; a null session is a session of its own; rows with equal session and text get equal
+masked texts; an empty table gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -9,47 +12,50 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import merge_array, stitch
-from ..functions.patterns import REDACTED, java
-from ..functions.substitutes import Spark, day_offset, digest, normalized, substitute
-from .detect import dictionary_spans, entity_spans, keyword_rules, mock_spans, regex_spans, rule_spans
-from .spans import greedy_array, summary, summary_text
+from ..functions import engine
+from ..functions.columns import SUB, masked, per_text
+from ..functions.engine import Recognizer, Span
+from .detect import by_rules, keyword_rules, usable
+from .spans import summary, summary_text
+
+
+def as_name(kind: str) -> str:
+    """The pipeline's type for substitutes: persons get names."""
+    return "NAME" if kind == "PERSON" else kind
 
-SUB = "array<struct<start: int, end: int, entity_type: string, original: string, sub: string>>"
 
+def resolver(rules: Iterable[tuple[str, str]] = (), mock: bool = True, keywords: Iterable[str] = (), recognizers: Iterable[Recognizer] = ()):
+    """A function from a text (and the JSON of external entities) to its resolved spans."""
+    own, plugged = [*usable(rules), *usable(keyword_rules(keywords))], [*([engine.mock_ner] if mock else []), *recognizers]
 
-def with_substitutes(chosen: str, key: str, salt: str = "session_id", pipeline: bool = True) -> Column:
-    """array<struct<start, end, entity_type, original, sub>> from the span column ``chosen``; the original is the field ``key``."""
-    kind = normalized("CASE s.entity_type WHEN 'PERSON' THEN 'NAME' ELSE s.entity_type END" if pipeline else "s.entity_type")
-    keyed = f"transform({chosen}, s -> named_struct('start', s.start, 'end', s.end, 'k', {kind}, 'o', s.{key}))"
-    hashed = f"transform({keyed}, s -> named_struct('start', s.start, 'end', s.end, 'k', s.k, 'o', s.o, 'h', {digest(salt, 's.k', 's.o')}))"
-    sub = substitute("s.k", "s.o", "s.h", day_offset(salt), Spark)
-    return F.expr(f"transform({hashed}, s -> named_struct('start', s.start, 'end', s.end, 'entity_type', s.k, 'original', s.o, 'sub', {sub}))")
+    def resolve(text: str, entities: str | None = None) -> list[Span]:
+        places = engine.Places(text)
+        found = engine.regex_spans(text, places)
+        if entities is not None:
+            found += engine.entity_spans(text, entities, places)
+        for recognizer in plugged:
+            found += engine.recognized(text, recognizer, places)
+        return engine.merge(found + by_rules(text, own, places))
 
+    return resolve
 
-def masked_with(docs: DataFrame, own: Column) -> DataFrame:
-    """``docs`` with ``spans`` (resolved, with substitutes) and ``masked``; other columns stay."""
-    out = docs.withColumn("_own", own).withColumn("_best", merge_array(F.col("_own")))
-    out = out.withColumn("spans", with_substitutes("_best", "value")).drop("_own", "_best")
-    return out.withColumn("masked", stitch(F.col("text"), F.col("spans")))
 
+def with_masked(docs: DataFrame, made: Column) -> DataFrame:
+    """``docs`` with the fields ``spans`` and ``masked`` of a struct column."""
+    return docs.withColumn("_made", made).withColumns({"spans": F.col("_made.spans"), "masked": F.col("_made.masked")}).drop("_made")
 
-def mask_pipeline(docs: DataFrame, rules: Iterable[tuple[str, str]] = (), entities: Column | None = None, mock: bool = True, keywords: Iterable[str] = ()) -> DataFrame:
-    """Pattern detections, external entities, the mock recognizer and user rules, merged and replaced.
+
+def mask_pipeline(docs: DataFrame, rules: Iterable[tuple[str, str]] = (), entities: Column | None = None, mock: bool = True, keywords: Iterable[str] = (), recognizers: Iterable[Recognizer] = ()) -> DataFrame:
+    """Pattern detections, external entities, recognizers (the mock one, and any callable from a text to spans) and user rules, merged and replaced.
 
     ``docs`` has doc_id, session_id and text; the result adds spans and masked.
     """
-    text = F.col("text")
-    parts = [regex_spans(text)]
-    if entities is not None:
-        parts.append(entity_spans(text, entities))
-    if mock:
-        parts.append(mock_spans(text))
-    parts.append(rule_spans(text, [*rules, *keyword_rules(keywords)]))
-    return masked_with(docs, F.concat(*parts))
+    resolve = resolver(rules, mock, keywords, recognizers)
+    return with_masked(docs, masked(resolve, F.col("text"), F.col("session_id"), *([entities] if entities is not None else []), name=as_name))
 
 
 def rules_from_json(text: str) -> list[tuple[str, str]]:
@@ -72,21 +78,24 @@ def keywords_from_json(text: str) -> list[str]:
 
 
 def mask_text_greedy(docs: DataFrame, detections: Column) -> DataFrame:
-    """The stand-alone masker: valid detections (with ``ord``), nested ones dropped, right-most first; keys are the ``value`` fields."""
-    good = F.filter(detections, lambda d: d["is_valid"])
-    out = docs.withColumn("_own", good).withColumn("_best", greedy_array(F.col("_own"), F.octet_length("text")))
-    out = out.withColumn("spans", with_substitutes("_best", "value", pipeline=False)).drop("_own", "_best")
-    return out.withColumn("masked", F.when(F.size("spans") > 0, stitch(F.col("text"), F.col("spans"))).otherwise(F.col("text")))
+    """The stand-alone masker: valid detections (in their order), nested ones dropped, right-most first; keys are the ``value`` fields."""
+
+    def resolve(text: str, own: list[dict] | None) -> list[tuple[str, int, int, str]]:
+        good = [(d["entity_type"], d["start"], d["end"], d["value"]) for d in own or [] if d["is_valid"]]
+        return engine.greedy(good, len(text.encode()))
+
+    return with_masked(docs, masked(resolve, F.col("text"), F.col("session_id"), detections))
 
 
-def vault(masked: DataFrame, right_first: bool = True) -> DataFrame:
+def vault(masked_docs: DataFrame, right_first: bool = True) -> DataFrame:
     """session_id, norm_type, original, substitute, seq: each key once, with the place of its first registration.
 
     The pipeline registers a text's spans from right to left, the stand-alone masker from left to right; documents in order of id.
     """
-    rows = masked.select("session_id", "doc_id", F.posexplode("spans").alias("_i", "s"), F.size("spans").alias("_n"))
-    place = F.struct(F.col("doc_id"), (F.col("_n") - F.col("_i") if right_first else F.col("_i")).alias("i"))
-    return rows.groupBy("session_id", F.col("s.entity_type").alias("norm_type"), F.col("s.original").alias("original"), F.col("s.sub").alias("substitute")).agg(F.min(place).alias("seq"))
+    # One generator over one column: nothing of the masking is computed twice.
+    numbered = F.transform("spans", lambda s, i: F.struct(s["entity_type"].alias("norm_type"), s["original"].alias("original"), s["sub"].alias("substitute"), (F.size("spans") - i if right_first else i).alias("i")))
+    rows = masked_docs.select("session_id", "doc_id", F.inline(numbered))
+    return rows.groupBy("session_id", "norm_type", "original", "substitute").agg(F.min(F.struct("doc_id", "i")).alias("seq"))
 
 
 def without_session(rows: DataFrame, session_id: object) -> DataFrame:
@@ -94,42 +103,35 @@ def without_session(rows: DataFrame, session_id: object) -> DataFrame:
     return rows.where(~F.col("session_id").eqNullSafe(F.lit(session_id)))
 
 
+def replace_sessions(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """A vault in which the sessions of ``new`` have the rows of ``new`` only: masking again forgets what the session had."""
+    kept = rows.join(new.select(F.col("session_id").alias("_s")).distinct(), F.col("session_id").eqNullSafe(F.col("_s")), "left_anti")
+    return kept.unionByName(new)
+
+
 def reverse_vault(forward: DataFrame) -> DataFrame:
     """session_id, substitute, original, norm_type: where originals collide on one substitute, the latest registration wins."""
     latest = F.max(F.struct("seq", "original", "norm_type")).alias("m")
     return forward.groupBy("session_id", "substitute").agg(latest).select("session_id", "substitute", F.col("m.original").alias("original"), F.col("m.norm_type").alias("norm_type"))
 
 
-def mask_summary(docs: DataFrame, merged: Column | None = None) -> DataFrame:
+def mask_summary(docs: DataFrame) -> DataFrame:
     """doc_id, names, pan, aadhaar, summary: what would be hidden."""
-    text = F.col("text")
-    own = docs.withColumn("_own", F.concat(regex_spans(text), mock_spans(text))).withColumn("_best", merge_array(F.col("_own")))
-    own = own.withColumn("c", summary(F.col("_best")))
+    resolve = resolver()
+    kinds = per_text(lambda t: [(s[0],) for s in resolve(t)], "struct<entity_type: string>")
+    own = docs.select("doc_id", kinds(F.col("text")).alias("_k")).select("doc_id", summary(F.col("_k")).alias("c"))
     return own.select("doc_id", F.col("c.names").alias("names"), F.col("c.pan").alias("pan"), F.col("c.aadhaar").alias("aadhaar"), summary_text(F.col("c")).alias("summary"))
 
 
-def redact(text: Column, mark: str = "X") -> Column:
-    """Plain redaction: four patterns one after the other, each match overwritten by as many marks as it has bytes."""
-    for pattern in REDACTED:
-        p = java(pattern)
-        found, gaps = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.split(text, p, -1)
-        runs = F.transform(found, lambda m: F.repeat(F.lit(mark), F.octet_length(m)))
-        whole = F.array_join(F.flatten(F.zip_with(gaps, runs, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
-        text = F.when(text.rlike(p), whole).otherwise(text)
-    return text
-
-
 def redact_pii(docs: DataFrame, mark: str = "X") -> DataFrame:
-    out = docs
-    for k, pattern in enumerate(REDACTED):  # a column a step, so that no pattern runs twice over one text
-        src = F.col("text" if k == 0 else f"_r{k - 1}")
-        p = java(pattern)
-        runs = F.transform(F.regexp_extract_all(src, F.lit(p), F.lit(0)), lambda m: F.repeat(F.lit(mark), F.octet_length(m)))
-        whole = F.array_join(F.flatten(F.zip_with(F.split(src, p, -1), runs, lambda g, r: F.array(g, F.coalesce(r, F.lit(""))))), "")
-        out = out.withColumn(f"_r{k}", F.when(src.rlike(p), whole).otherwise(src))
-    return out.select("doc_id", F.col(f"_r{len(REDACTED) - 1}").alias("redacted"))
+    """doc_id, redacted: plain redaction by four patterns, one after the other."""
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else engine.redact(t, mark) for t in texts.to_pylist()], pa.string())
+
+    return docs.select("doc_id", run(F.col("text")).alias("redacted"))
 
 
-def profiled(masked: DataFrame) -> DataFrame:
+def profiled(masked_docs: DataFrame) -> DataFrame:
     """doc_id, input_len and output_len in bytes; the caller measures time."""
-    return masked.select("doc_id", F.octet_length("text").alias("input_len"), F.octet_length("masked").alias("output_len"))
+    return masked_docs.select("doc_id", F.octet_length("text").alias("input_len"), F.octet_length("masked").alias("output_len"))

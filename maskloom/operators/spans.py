@@ -1,7 +1,7 @@
 """Span sets as tables: filters, duplicates, the two conflict policies, summaries.
 
 Chains (``merge_spans``) keep one span of every run of overlapping ones; the greedy policy (``greedy_spans``) drops nested spans
-and prefers the right-most start. Tables shuffle once, by document; the array forms in ``functions.columns`` don't shuffle.
+and prefers the right-most start. Tables shuffle once, by document; the array forms don't shuffle.
 """
 
 from __future__ import annotations
@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import priority
+from ..functions.columns import greedy, not_contained
+from ..functions.patterns import PRIORITY
 
 
-def in_range(spans: DataFrame, size_col: str = "size") -> DataFrame:
-    """Spans that are not empty and end within their text of ``size_col`` bytes."""
-    return spans.where((F.col("start") < F.col("end")) & (F.col("end") <= F.col(size_col)))
+def priority(source: Column) -> Column:
+    """How sources rank in conflicts."""
+    return F.coalesce(F.element_at(F.create_map(*(x for k, v in PRIORITY.items() for x in (F.lit(k), F.lit(v)))), source), F.lit(0))
 
 
 def distinct_spans(spans: DataFrame) -> DataFrame:
@@ -33,22 +34,14 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return own.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_new", "_chain", "_k")
 
 
-def drop_contained_array(own: Column) -> Column:
-    """Spans that no other span strictly contains; equal spans stay."""
-    inside = lambda d, o: (o["start"] <= d["start"]) & (d["end"] <= o["end"]) & ((o["start"] < d["start"]) | (d["end"] < o["end"]))
-    return F.filter(own, lambda d: ~F.exists(own, lambda o: inside(d, o)))
+def drop_contained_array(own: Column, kind: str) -> Column:
+    """Spans of an array of type ``kind`` that no other span strictly contains; equal spans stay."""
+    return not_contained(own, kind)
 
 
-def greedy_array(own: Column, size: Column) -> Column:
+def greedy_array(own: Column, size: Column, kind: str) -> Column:
     """From right to left, each span that ends before the last one taken starts; spans carry ``ord``, their input order. Result from left to right."""
-    ordered = F.reverse(F.array_sort(F.transform(drop_contained_array(own), lambda d: F.struct(d["start"].alias("a"), d["ord"].alias("o"), d.alias("d")))))
-    none = F.filter(own, lambda d: F.lit(False))
-
-    def step(acc: Column, k: Column) -> Column:
-        fits = k["d"]["end"] <= acc["edge"]
-        return F.struct(F.when(fits, k["d"]["start"]).otherwise(acc["edge"]).alias("edge"), F.when(fits, F.array_append(acc["out"], k["d"])).otherwise(acc["out"]).alias("out"))
-
-    return F.reverse(F.aggregate(ordered, F.struct(size.alias("edge"), none.alias("out")), step, lambda acc: acc["out"]))
+    return greedy(own, size, kind)
 
 
 def summary(own: Column) -> Column:

@@ -1,106 +1,80 @@
 """Unmasking: exact replacement in order of substitute length, then fuzzy restoring of tokens.
 
-A reply meets only its session's pairs. The pairs of a session are one array, joined once; exact and fuzzy restoring then stay in
-the reply's row. For sessions too large for one row, ``fuzzy_tokens`` joins tokens and pairs as rows, under a bound on lengths.
+Replies and pairs are grouped together by session. A session with more than SLICE replies is dealt into slices, each with the session's
+pairs, so that a hot session is many tasks. A task indexes its session's pairs once (see ``engine.Pairs``): a reply looks up only pairs whose
+first characters it has, a token only substitutes that share a piece with it, so time grows with replies plus pairs, not with their product.
+
+Defined results: a null text stays null; a session without pairs leaves its replies as they are; a null session is a session of its own;
+empty substitutes are skipped; repeated rows have equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from ..functions.columns import replace_all_folded
-from ..functions.patterns import FUZZY_TOKEN
-
-
-def session_pairs(reverse: DataFrame) -> DataFrame:
-    """session_id, pairs: substitutes by length in bytes, longest first, then by text."""
-    order = F.struct((-F.octet_length("substitute")).alias("l"), F.col("substitute").alias("sub"), F.col("original").alias("orig"), F.col("norm_type").alias("kind"))
-    return reverse.groupBy("session_id").agg(F.array_sort(F.collect_list(order)).alias("pairs"))
-
+from collections.abc import Callable
+from typing import Any
 
-def unmask_exact(replies: DataFrame, reverse: DataFrame) -> DataFrame:
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions import engine
+from ..functions.columns import arrow_type, lists
+
+SLICE = 5_000
+FUZZY = "array<struct<utf16_start: int, utf16_end: int, masked: string, revealed: string>>"
+HITS = "array<struct<start: int, end: int, masked: string, revealed: string>>"
+
+
+def _each(replies: DataFrame, reverse: DataFrame, more: str, restore: Callable[[engine.Pairs, str], tuple[Any, ...]], slice_rows: int = SLICE) -> DataFrame:
+    """``replies`` (with session_id and text) and the columns ``more`` (DDL) that ``restore`` makes of a session's pairs and a text."""
+    added = T._parse_datatype_string(more)
+    kind = T.StructType(replies.schema.fields + added.fields)
+    schema, types = to_arrow_schema(kind), [arrow_type(f.dataType) for f in added.fields]
+    at, width, session = replies.columns.index("text"), len(replies.columns), replies.schema["session_id"].dataType
+    pairs = reverse.select(F.col("session_id").cast(session).alias("session_id"), "substitute", "original", "norm_type").where("substitute <> '' and original is not null")
+    # Sessions beyond a slice; their number is at most that of all replies by the slice's size.
+    hot = replies.groupBy("session_id").count().where(F.col("count") > slice_rows).select(F.col("session_id").alias("_s"), F.ceil(F.col("count") / slice_rows).cast("int").alias("_slices"))
+    dealt = lambda df: df.join(hot, F.col("session_id").eqNullSafe(F.col("_s")), "left").withColumn("_slices", F.coalesce("_slices", F.lit(1))).drop("_s")
+    left = dealt(replies).withColumn("_slice", F.pmod(F.xxhash64(*(F.col(f.name) for f in replies.schema if not isinstance(f.dataType, T.MapType))), F.col("_slices")).cast("int")).drop("_slices")
+    right = dealt(pairs).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+
+    def run(own: pa.Table, there: pa.Table) -> pa.Table:
+        known = engine.Pairs(zip(*(there.column(c).to_pylist() for c in ("substitute", "original", "norm_type")), strict=True))
+        made = [restore(known, t) if t is not None else (None,) * len(types) for t in own.column(at).to_pylist()]
+        columns = [lists([m[k] for m in made], x) if pa.types.is_list(x) else pa.array([m[k] for m in made], x) for k, x in enumerate(types)]
+        kept = [c.combine_chunks() for c in own.columns[:width]]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip([*kept, *columns], schema, strict=True)], schema=schema)
+
+    # A number of partitions that is given is kept: sessions are few bytes but much work, and would be merged into a few tasks.
+    parts = int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_session = lambda df: df.repartition(parts, "session_id", "_slice").groupBy("session_id", "_slice")
+    return by_session(left).cogroup(by_session(right)).applyInArrow(run, kind)
+
+
+def unmask_exact(replies: DataFrame, reverse: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """``replies`` (reply_id, session_id, text) with ``exact``; a session without a vault leaves the text as it is."""
-    return with_exact(replies, reverse).drop("pairs")
-
-
-def with_exact(replies: DataFrame, reverse: DataFrame) -> DataFrame:
-    joined = replies.join(session_pairs(reverse), "session_id", "left")
-    return joined.withColumn("exact", F.when(F.col("pairs").isNull(), F.col("text")).otherwise(replace_all_folded(F.col("text"), F.col("pairs"))))
-
-
-def threshold(sub: Column) -> Column:
-    return F.greatest(F.floor(F.octet_length(sub) / 8).cast("int"), F.lit(2))
-
-
-def compatible(kind: Column, token: Column, sub: Column) -> Column:
-    """Whether a token may stand for a substitute of this type."""
-    count = lambda c, p: F.length(c) - F.length(F.regexp_replace(c, p, ""))
-    return (
-        F.when(kind == "AADHAAR", ~token.rlike("[^0-9]") & ~sub.rlike("[^0-9]") & F.octet_length(token).between(10, 14))
-        .when(kind == "PAN", (F.octet_length(sub) == 10) & (F.octet_length(token) <= 12) & (count(token, "[A-Za-z]") >= 4))
-        .when(kind == "PHONE", count(token, "[0-9]") >= 8)
-        .when(kind.isin("NAME", "PERSON"), token.rlike("[A-Za-z]"))
-        .otherwise(F.lit(True))
-    )
-
-
-def token_array(exact: Column) -> Column:
-    """array<struct<start, end, token>>, in characters: maximal runs that may be damaged substitutes."""
-    gaps, found = F.split(exact, FUZZY_TOKEN, -1), F.regexp_extract_all(exact, F.lit(FUZZY_TOKEN), F.lit(0))
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
-    none = F.array().cast("array<struct<start: int, end: int, token: string>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["g"]
-        b = a + F.length(x["m"])
-        return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("end"), x["m"].alias("token"))).alias("out"))
-
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-
-
-def tokens(exact: DataFrame) -> DataFrame:
-    """reply_id, session_id, i, start, end, token as rows."""
-    return exact.select("reply_id", "session_id", F.posexplode(token_array(F.col("exact"))).alias("i", "t")).select("reply_id", "session_id", "i", "t.*")
-
-
-def best_pair(token: Column, pairs: Column) -> Column:
-    """The pair nearest to a token, longer substitutes first, or null; lengths are compared before the edit distance."""
-    near = F.filter(pairs, lambda p: (F.abs(F.octet_length(token) - F.octet_length(p["sub"])) <= threshold(p["sub"])) & compatible(p["kind"], token, p["sub"]))
-    rated = F.transform(near, lambda p: F.struct(F.levenshtein(token, p["sub"]).alias("d"), p["l"].alias("l"), p["sub"].alias("sub"), p["orig"].alias("orig")))
-    return F.array_min(F.filter(rated, lambda r: (r["d"] > 0) & (r["d"] <= threshold(r["sub"]))))
+    return _each(replies, reverse, "exact string", lambda pairs, text: (pairs.exact(text),), slice_rows)
 
 
-def fuzzy_tokens(exact: DataFrame, reverse: DataFrame) -> DataFrame:
-    """The best pair of each token: reply_id, start, end, masked, revealed. Length bounds come before the edit distance."""
-    t = tokens(exact)
-    near = F.abs(F.octet_length("token") - F.octet_length("substitute")) <= threshold(F.col("substitute"))
-    pairs = t.join(reverse, "session_id").where(near & compatible(F.col("norm_type"), F.col("token"), F.col("substitute")))
-    pairs = pairs.withColumn("d", F.levenshtein("token", "substitute")).where((F.col("d") > 0) & (F.col("d") <= threshold(F.col("substitute"))))
-    best = Window.partitionBy("reply_id", "i").orderBy("d", F.desc(F.octet_length("substitute")), "substitute")
-    return pairs.withColumn("k", F.row_number().over(best)).where("k = 1").select("reply_id", "start", "end", F.col("substitute").alias("masked"), F.col("original").alias("revealed"))
+def fuzzy_tokens(replies: DataFrame, reverse: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """The best pair of each token of the exactly restored texts: reply_id, start, end (characters), masked, revealed."""
+    rows = _each(replies, reverse, f"hits {HITS}", lambda pairs, text: (pairs.fuzzy(pairs.exact(text)),), slice_rows)
+    return rows.select("reply_id", F.inline("hits"))
 
 
-def unmask_fuzzy(replies: DataFrame, reverse: DataFrame) -> DataFrame:
+def unmask_fuzzy(replies: DataFrame, reverse: DataFrame, slice_rows: int = SLICE) -> DataFrame:
     """reply_id, text, fuzzy_spans (UTF-16 offsets into the restored text, masked, revealed)."""
-    out = with_exact(replies, reverse).withColumn("tokens", token_array(F.col("exact")))
-    rated = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), best_pair(t["token"], F.col("pairs")).alias("b")))
-    out = out.withColumn("rated", F.filter(rated, lambda h: h["b"].isNotNull()))
-    out = out.withColumn("hits", F.transform("rated", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["b"]["sub"].alias("masked"), h["b"]["orig"].alias("revealed"))))
-    wide = lambda c: F.floor(F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
-    none = F.array().cast("array<struct<utf16_start: int, utf16_end: int, masked: string, revealed: string>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), none.alias("spans"))
 
-    def step(acc: Column, h: Column) -> Column:
-        before = F.concat(acc["out"], F.substring(F.col("exact"), acc["at"] + 1, h["start"] - acc["at"]))
-        a = wide(before)
-        return F.struct(h["end"].alias("at"), F.concat(before, h["revealed"]).alias("out"), F.array_append(acc["spans"], F.struct(a.alias("utf16_start"), (a + wide(h["revealed"])).alias("utf16_end"), h["masked"].alias("masked"), h["revealed"].alias("revealed"))).alias("spans"))
+    def restore(pairs: engine.Pairs, text: str) -> tuple[Any, ...]:
+        exact = pairs.exact(text)
+        return engine.revealed(exact, pairs.fuzzy(exact))
 
-    end = lambda acc: F.struct(F.concat(acc["out"], F.substring(F.col("exact"), acc["at"] + 1, F.length("exact"))).alias("text"), acc["spans"].alias("fuzzy_spans"))
-    folded = F.aggregate(F.coalesce("hits", F.array().cast("array<struct<start: int, end: int, masked: string, revealed: string>>")), zero, step, end)
-    return out.select("reply_id", folded.alias("r")).select("reply_id", "r.text", "r.fuzzy_spans")
+    rows = _each(replies, reverse, f"restored string, fuzzy_spans {FUZZY}", restore, slice_rows)
+    return rows.select("reply_id", F.col("restored").alias("text"), "fuzzy_spans")
 
 
 def unmask_json(replies: DataFrame, reverse: DataFrame) -> DataFrame:
+    """reply_id, json: {text, fuzzy_spans} in one line."""
     return unmask_fuzzy(replies, reverse).select("reply_id", F.to_json(F.struct("text", "fuzzy_spans")).alias("json"))

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from ..functions.columns import verhoeff_tables
+from ..functions.engine import verhoeff_tables
 from ..functions.patterns import DETECTORS, KEYWORDS, MOCK_ORG, MOCK_PERSON, REDACTED, VARIANTS, dictionary, keyword_rule
-from ..functions.substitutes import FAMILIES, day_offset, digest, family, normalized, substitute
 from ..operators import dataset
+from .duck_substitutes import FAMILIES, day_offset, digest, family, normalized, substitute
 from .views import PROMPTS
 
 
-class Duck:
-    """How DuckDB writes what engines write differently."""
-
-    digest = "sha256({0})"
-    fixed = "printf('%.2f', {0})"
-    add_days = "CAST({0} + CAST({1} AS INT) AS DATE)"
-    iso = "strftime({0}, '%Y-%m-%d')"
-    dmy = "concat(strftime({0}, '%d'), {1}, strftime({0}, '%m'), {1}, strftime({0}, '%Y'))"
-    pick = "list_extract([{0}], CAST({1} AS INT) + 1)"
-    chars = "array_to_string(list_transform(string_split({0}, ''), lambda c, i: {1}), '')"
-    index = "(i - 1)"
-    backslash = "\\"
-
-
 DOCUMENTS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 #: Letters beyond ASCII, two bytes each, as two word characters: DuckDB's word boundaries are ASCII only.
 LETTERS = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}]"
@@ -87,8 +73,8 @@ def merged(src: str) -> str:
 def substituted(chosen: str, src: str = PROMPTS, kind: str = "CASE entity_type WHEN 'PERSON' THEN 'NAME' ELSE entity_type END") -> str:
     """doc_id, session_id, start, end, entity_type, original, sub of chosen spans."""
     kind = normalized(f"({kind})")
-    return f"""SELECT doc_id, session_id, "start", "end", k AS entity_type, o AS original, {substitute('k', 'o', 'h', day_offset('session_id', Duck), Duck)} AS sub FROM (
-        SELECT *, {digest('session_id', 'k', 'o', Duck)} AS h FROM (SELECT m.doc_id, session_id, "start", "end", {kind} AS k, value AS o FROM ({chosen}) m JOIN ({src}) p ON m.doc_id = p.doc_id))"""
+    return f"""SELECT doc_id, session_id, "start", "end", k AS entity_type, o AS original, {substitute('k', 'o', 'h', day_offset('session_id'))} AS sub FROM (
+        SELECT *, {digest('session_id', 'k', 'o')} AS h FROM (SELECT m.doc_id, session_id, "start", "end", {kind} AS k, value AS o FROM ({chosen}) m JOIN ({src}) p ON m.doc_id = p.doc_id))"""
 
 
 def stitched(subs: str, src: str = PROMPTS) -> str:
@@ -111,9 +97,10 @@ ENTITIES = """concat('[{"label":"TAG","start":', CAST(doc_id % 5 AS STRING), ',"
 EXTERNAL = f"SELECT doc_id, 'TAG' AS entity_type, CAST(doc_id % 5 AS INT) AS \"start\", CAST(doc_id % 5 + 8 AS INT) AS \"end\", substr(text, CAST(doc_id % 5 + 1 AS BIGINT), 8) AS value, CAST(0.5 AS FLOAT) AS confidence, 'NER' AS source FROM ({PROMPTS})"
 SAMPLES = {f: f"SELECT DISTINCT value AS original FROM ({matches(PROMPTS, p)})" for f, p in {
     "PAN": DETECTORS["PAN"][0], "AADHAAR": DETECTORS["AADHAAR"][0], "PHONE": DETECTORS["INDIAN_PHONE"][0], "EMAIL": DETECTORS["EMAIL"][0], "CREDIT_CARD": DETECTORS["CREDIT_CARD"][0],
-    "NAME": MOCK_PERSON, "IP": DETECTORS["IPV4"][0], "URL": DETECTORS["URL"][0], "GENERIC": DETECTORS["IBAN"][0],
+    "IP": DETECTORS["IPV4"][0], "URL": DETECTORS["URL"][0], "GENERIC": DETECTORS["IBAN"][0],
 }.items()}
 #: Amounts and dates of orders as text, in the forms that the generators know.
+SAMPLES["NAME"] = "SELECT DISTINCT c_name AS original FROM customer"
 SAMPLES["MONEY"] = "SELECT DISTINCT concat('Rs ', CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), CASE WHEN o_orderkey % 2 = 0 THEN '.50 only' ELSE ' due' END) AS original FROM orders UNION SELECT 'no amount' AS original"
 _D = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
 SAMPLES["DATE"] = f"SELECT DISTINCT CASE o_orderkey % 4 WHEN 0 THEN concat('on ', {_D}) WHEN 1 THEN concat(substr({_D}, 9, 2), '/', substr({_D}, 6, 2), '/', substr({_D}, 1, 4)) WHEN 2 THEN concat('31-02-', substr({_D}, 1, 4), ' x') ELSE 'someday' END AS original FROM orders"
@@ -184,11 +171,13 @@ def greedy() -> str:
         SELECT s.doc_id, entity_type, "start", "end", value FROM s JOIN g ON s.doc_id = g.doc_id AND s.k = g.k WHERE ok"""
 
 
-def tier4() -> str:
-    c = f"SELECT doc_id AS d, \"start\" AS base, doc_id * 100000 + start_token AS doc_id, text FROM ({chunked(512, 64)})"
+def tier4(most: int = 50_000) -> str:
+    n = f"len(regexp_extract_all(text, '{TOKENS}'))"
+    c = f"SELECT doc_id AS d, \"start\" AS base, doc_id * 100000 + start_token AS doc_id, text FROM ({chunked(512, 64, f'SELECT * FROM ({DOCUMENTS}) WHERE {n} <= {most}')})"
     own = f"{regex_spans(c)} UNION ALL {spans(c, dictionary(KEYWORDS), 'KEYWORD', 'Keyword', 1.0)}"
     rows = f"""SELECT d AS doc_id, entity_type, CAST("start" + base AS INT) AS "start", CAST("end" + base AS INT) AS "end", value, source FROM ({own}) s JOIN ({c}) c ON s.doc_id = c.doc_id"""
-    return f"SELECT *, CAST(NULL AS STRING) AS error FROM ({merged(rows)})"
+    over = f"SELECT doc_id, NULL, NULL, NULL, NULL, NULL, 'Input exceeds maximum token limit' FROM ({DOCUMENTS}) WHERE {n} > {most}"
+    return f"SELECT *, CAST(NULL AS STRING) AS error FROM ({merged(rows)}) UNION ALL {over}"
 
 
 def bio(a: str, b: str, c: str) -> str:
@@ -256,20 +245,11 @@ ORACLE_SQL |= {
     "pad_truncate": f"SELECT doc_id, concat_ws(' ', a, b, c, 0, 0) AS padded, concat_ws(' ', a, b) AS cut FROM ({TAG_ROWS})",
     "argmax": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS argmax FROM embeddings",
     "prediction_similarity": f"SELECT doc_id, (CASE WHEN a = b THEN 1 ELSE 0 END + CASE WHEN b = c THEN 1 ELSE 0 END + 1) * 100.0E0 / 3 AS similarity FROM ({TAG_ROWS})",
-    "synthetic_ner": examples(500, [
-        [dataset.PERSON, ("'works at'", "O"), (dataset._one(dataset.BANKS, 3), "ORG"), ("'in'", "O"), (dataset._one(dataset.CITIES, 4), "LOC")],
-        [dataset.PERSON, (f"concat('submitted PAN ', {dataset.PAN_VALUE})", "O")],
-        [dataset.PERSON, (f"concat('has Aadhaar ', {dataset.AADHAAR_VALUE})", "O")],
-        [dataset.PERSON, ("'joined'", "O"), (dataset._one(dataset.COMPANIES, 3), "ORG")],
-    ]),
-    "synthetic_money_date": examples(500, [
-        [dataset.PERSON, ("'transferred'", "O"), (dataset._one(dataset.MONEY, 4), "MONEY"), ("'through'", "O"), (dataset._one(dataset.BANKS, 3), "ORG"), ("'on'", "O"), (dataset._one(dataset.DATES, 5), "DATE")],
-        [dataset.PERSON, ("'received salary of'", "O"), (dataset._one(dataset.MONEY, 4), "MONEY"), ("'on'", "O"), (dataset._one(dataset.DATES, 5), "DATE")],
-        [dataset.PERSON, ("'applied for loan of'", "O"), (dataset._one(dataset.MONEY, 4), "MONEY"), ("'from'", "O"), (dataset._one(dataset.BANKS, 3), "ORG"), ("'on'", "O"), (dataset._one(dataset.DATES, 5), "DATE")],
-    ]),
+    "synthetic_ner": examples(500, dataset.NER_SENTENCES),
+    "synthetic_money_date": examples(500, dataset.MONEY_SENTENCES),
 }
 ORACLE_SQL |= {
-    f"generate_{f.lower()}": f"SELECT original, {family('' if f == 'GENERIC' else f, 'original', 'h', day_offset('7', Duck), Duck)} AS substitute FROM (SELECT original, {digest('7', repr(f), 'original', Duck)} AS h FROM ({src}))"
+    f"generate_{f.lower()}": f"SELECT original, {family('' if f == 'GENERIC' else f, 'original', 'h', day_offset('7'))} AS substitute FROM (SELECT original, {digest('7', repr(f), 'original')} AS h FROM ({src}))"
     for f, src in SAMPLES.items()
 }
 ORACLE_SQL |= {
@@ -279,7 +259,7 @@ ORACLE_SQL |= {
     "wiped_vault": f"SELECT * FROM ({ORACLE_SQL['vault_forward']}) WHERE session_id <> 3",
 }
 TOKEN_RUN = "[A-Za-z0-9@._+-]{3,}"
-BEST = f"""SELECT reply_id, i, original FROM (SELECT *, row_number() OVER (PARTITION BY reply_id, i ORDER BY d, strlen(substitute) DESC, substitute) AS k FROM (
+BEST = f"""SELECT reply_id, i, substitute, original FROM (SELECT *, row_number() OVER (PARTITION BY reply_id, i ORDER BY d, strlen(substitute) DESC, substitute) AS k FROM (
     SELECT *, levenshtein(token, substitute) AS d, greatest(strlen(substitute) // 8, 2) AS most FROM (SELECT reply_id, session_id, unnest(regexp_extract_all(exact, '{TOKEN_RUN}')) AS token, generate_subscripts(regexp_extract_all(exact, '{TOKEN_RUN}'), 1) AS i FROM exact) t JOIN pairs v USING (session_id) WHERE {_compatible()})
     WHERE abs(strlen(token) - strlen(substitute)) <= most AND d > 0 AND d <= most) WHERE k = 1"""
 ORACLE_SQL |= {
@@ -289,10 +269,16 @@ ORACLE_SQL |= {
     "mask_summary_documents": ORACLE_SQL["mask_summary"].replace(PROMPTS, DOCUMENTS).replace(mock(DOCUMENTS), mock(WIDE)),
     "mask_documents": f"SELECT d.doc_id, coalesce(masked, d.text) AS masked, coalesce(n_spans, 0) AS n_spans FROM ({CHAR_DOCUMENTS}) d LEFT JOIN ({stitched(substituted(merged(CHAR_SPANS), CHAR_DOCUMENTS), CHAR_DOCUMENTS)}) m ON d.doc_id = m.doc_id",
     "tier4_detect": tier4(),
+    "tier4_limited": tier4(600),
     "seqeval_f1": f"""WITH p AS ({bio('a', 'b', 'c')}), t AS ({bio('a', 'b', '(c % 5)')}), n AS (SELECT (SELECT count(*) FROM p JOIN t USING (doc_id, k, s, e)) AS hit, (SELECT count(*) FROM p) AS np, (SELECT count(*) FROM t) AS nt)
         SELECT hit / np AS precision, hit / nt AS recall, 2.0E0 * hit / (np + nt) AS f1 FROM n""",
-    "unmask_fuzzy": f"""WITH exact AS MATERIALIZED ({EXACT}), pairs AS MATERIALIZED ({VAULT}), best AS ({BEST}),
-        parts AS (SELECT reply_id, g, m, unnest(range(1, len(g) + 1)) AS i FROM (SELECT reply_id, string_split_regex(exact, '{TOKEN_RUN}') AS g, regexp_extract_all(exact, '{TOKEN_RUN}') AS m FROM exact))
-        SELECT reply_id, string_agg(g[p.i] || coalesce(b.original, m[p.i], ''), '' ORDER BY p.i) AS text, CAST(count(b.i) AS INT) AS n_spans FROM parts p LEFT JOIN best b USING (reply_id, i) GROUP BY reply_id""",
+}
+#: Restored texts and their spans; in the prompts characters are UTF-16 units.
+RESTORED = f"""WITH exact AS MATERIALIZED ({EXACT}), pairs AS MATERIALIZED ({VAULT}), best AS ({BEST}),
+    parts AS (SELECT reply_id, g, m, unnest(range(1, len(g) + 1)) AS i FROM (SELECT reply_id, string_split_regex(exact, '{TOKEN_RUN}') AS g, regexp_extract_all(exact, '{TOKEN_RUN}') AS m FROM exact)),
+    placed AS (SELECT reply_id, p.i, g[p.i] AS gap, coalesce(original, m[p.i], '') AS word, substitute, original, sum(length(gap) + length(word)) OVER (PARTITION BY reply_id ORDER BY p.i) AS stop FROM parts p LEFT JOIN best b USING (reply_id, i))"""
+ORACLE_SQL |= {
+    "unmask_fuzzy": f"""{RESTORED} SELECT reply_id, string_agg(gap || word, '' ORDER BY i) AS text, coalesce(string_agg(concat_ws('|', stop - length(word), stop, substitute, original), ',' ORDER BY i) FILTER (original IS NOT NULL), '') AS spans FROM placed GROUP BY reply_id""",
+    "unmask_json": f"""{RESTORED} SELECT reply_id, CAST(to_json({{'text': string_agg(gap || word, '' ORDER BY i), 'fuzzy_spans': coalesce(list({{'utf16_start': CAST(stop - length(word) AS INT), 'utf16_end': CAST(stop AS INT), 'masked': substitute, 'revealed': original}} ORDER BY i) FILTER (original IS NOT NULL), [])}}) AS VARCHAR) AS json FROM placed GROUP BY reply_id""",
 }
 assert set(FAMILIES) <= set(SAMPLES)

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import matches, merge_array
-from ..functions.patterns import DETECTORS, TOKEN, VARIANTS, java
-from ..functions.substitutes import Spark, day_offset, digest, family
+from ..functions.columns import DETECTION, matches, merge_array, substituted, token_spans as tokens_of
+from ..functions.patterns import DETECTORS
 from ..operators import chunk, dataset, detect, mask, metrics, spans, unmask
 from ..sources.files import table
 from . import oracles
@@ -34,15 +33,14 @@ def _scan(entity: str) -> Query:
 
 def _generate(kind: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        if kind in ("MONEY", "DATE"):
-            own = spark.sql(oracles.SAMPLES[kind].replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+        sample = oracles.SAMPLES[kind]
+        if kind in ("MONEY", "DATE", "NAME"):
+            name = "customer" if kind == "NAME" else "orders"
+            own = spark.sql(sample.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: table(spark, sf_dir, name)})
         else:
-            from ..functions.patterns import MOCK_PERSON
-
-            pattern = {"PHONE": DETECTORS["INDIAN_PHONE"][0], "NAME": MOCK_PERSON, "IP": DETECTORS["IPV4"][0], "GENERIC": DETECTORS["IBAN"][0]}.get(kind) or DETECTORS[kind][0]
-            own = prompts(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(java(pattern)), F.lit(0))).alias("original")).distinct()
-        own = own.selectExpr("original", f"{digest('7', repr(kind), 'original', Spark)} AS h")
-        return own.selectExpr("original", f"{family('' if kind == 'GENERIC' else kind, 'original', 'h', day_offset('7', Spark), Spark)} AS substitute")
+            pattern = DETECTORS[{"PHONE": "INDIAN_PHONE", "IP": "IPV4", "GENERIC": "IBAN"}.get(kind, kind)][0]
+            own = prompts(spark, sf_dir).select(F.explode(matches(F.col("text"), pattern)).alias("m")).select(F.col("m.value").alias("original")).distinct()
+        return own.select("original", substituted(F.lit(kind), F.col("original"), F.lit("7")).alias("substitute"))
 
     return run
 
@@ -68,9 +66,7 @@ def scan_text_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def variant_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = F.array(*(F.struct(F.lit(n).alias("detector"), detect.variant_matches(F.col("text"), n).alias("v")) for n in VARIANTS))
-    rows = prompts(spark, sf_dir).select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.detector", F.explode("x.v").alias("value"))
-    return rows.groupBy("doc_id", "detector", "value").agg(F.count("*").alias("n"))
+    return detect.variant_rows(prompts(spark, sf_dir)).groupBy("doc_id", "detector", "value").agg(F.count("*").alias("n"))
 
 
 @query
@@ -137,7 +133,7 @@ def external_ner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    return detect.exploded(prompts(spark, sf_dir), F.concat(detect.regex_spans(text), detect.mock_spans(text)))
+    return detect.exploded(prompts(spark, sf_dir), F.concat(detect.regex_spans(text), detect.recognized(text)))
 
 
 @query
@@ -148,10 +144,13 @@ def merge_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merge_spans_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    own = prompts(spark, sf_dir).withColumn("own", F.concat(detect.regex_spans(text), detect.mock_spans(text)))
+    own = prompts(spark, sf_dir).withColumn("own", F.concat(detect.regex_spans(text), detect.recognized(text)))
     return detect.exploded(own, merge_array(F.col("own"))).drop("confidence")
 
 
+VALID = f"array<{DETECTION[:-1]}, ord: int>>"
+
+
 def _valid_array() -> F.Column:
     good = F.filter(detect.detections(F.col("text")), lambda d: d["is_valid"])
     return F.transform(good, lambda d, i: F.struct(d["entity_type"].alias("entity_type"), d["start"].alias("start"), d["end"].alias("end"), d["value"].alias("value"), d["is_valid"].alias("is_valid"), i.alias("ord")))
@@ -160,13 +159,13 @@ def _valid_array() -> F.Column:
 @query
 def drop_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = prompts(spark, sf_dir).withColumn("own", _valid_array())
-    return detect.exploded(own, spans.drop_contained_array(F.col("own"))).drop("is_valid", "ord")
+    return detect.exploded(own, spans.drop_contained_array(F.col("own"), VALID)).drop("is_valid", "ord")
 
 
 @query
 def greedy_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = prompts(spark, sf_dir).withColumn("own", _valid_array())
-    return detect.exploded(own, spans.greedy_array(F.col("own"), F.octet_length("text"))).drop("is_valid", "ord")
+    return detect.exploded(own, spans.greedy_array(F.col("own"), F.octet_length("text"), VALID)).drop("is_valid", "ord")
 
 
 @query
@@ -232,7 +231,7 @@ def vault_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    masked = mask.mask_pipeline(prompts(spark, sf_dir), mock=False).select("doc_id", "session_id", "spans", "masked").persist()  # replies and vault both read it
+    masked = mask.mask_pipeline(prompts(spark, sf_dir), mock=False).select("doc_id", "session_id", "spans", "masked")
     typed = F.concat(F.substring("masked", 1, 11), F.lit("0"), F.expr("substr(masked, 13)"))
     return masked.select(F.col("doc_id").alias("reply_id"), "session_id", typed.alias("text")), mask.reverse_vault(mask.vault(masked))
 
@@ -245,12 +244,12 @@ def unmask_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def unmask_fuzzy_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies, reverse = _replies(spark, sf_dir)
-    return unmask.fuzzy_tokens(unmask.unmask_exact(replies, reverse), reverse).groupBy("reply_id", "masked", "revealed").agg(F.count("*").alias("n"))
+    return unmask.fuzzy_tokens(replies, reverse).groupBy("reply_id", "masked", "revealed").agg(F.count("*").alias("n"))
 
 
 @query
 def unmask_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unmask.unmask_fuzzy(*_replies(spark, sf_dir)).select("reply_id", "text", F.size("fuzzy_spans").alias("n_spans"))
+    return unmask.unmask_fuzzy(*_replies(spark, sf_dir)).select("reply_id", "text", F.array_join(F.transform("fuzzy_spans", lambda s: F.concat_ws("|", s["utf16_start"], s["utf16_end"], s["masked"], s["revealed"])), ",").alias("spans"))
 
 
 @query
@@ -275,7 +274,7 @@ def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return texts(spark, sf_dir).select("doc_id", F.explode(matches(F.col("text"), java(TOKEN))).alias("t")).select("doc_id", "t.*")
+    return texts(spark, sf_dir).select("doc_id", F.explode(tokens_of(F.col("text"))).alias("t")).select("doc_id", "t.*")
 
 
 @query
@@ -293,6 +292,12 @@ def tier4_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.tier4_detect(texts(spark, sf_dir))
 
 
+@query
+def tier4_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a limit of tokens that some documents pass: an error each."""
+    return chunk.tier4_detect(texts(spark, sf_dir), most=600)
+
+
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(oracles.TAG_ROWS.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
 

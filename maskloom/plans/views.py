@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.files import table
+from ..sources.files import spread, table
 
 
 def _pad(x: str, n: int, c: str = "0") -> str:
@@ -33,9 +33,9 @@ PROMPTS = f"SELECT CAST({K} AS BIGINT) AS doc_id, CAST(({K} - {K} % 10) / 10 AS
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(PROMPTS.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return spark.sql(PROMPTS.replace("FROM customer", "FROM {customer}"), customer=spread(table(spark, sf_dir, "customer").select("c_custkey")))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents; a null text is empty."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text")
+    return spread(table(spark, sf_dir, "documents").selectExpr("doc_id", "coalesce(text, '') AS text"))

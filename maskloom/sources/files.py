@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes up to which a table is dealt before work on its texts.
+SMALL = 256 << 20
 EXAMPLE = "tokens array<string>, ner_tags array<string>"
 
 
@@ -13,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """A small table dealt to all cores, as one row group is one task; tables beyond ``most`` bytes have splits enough and are not shuffled."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= most else rows
+
+
 def read_examples(spark: SparkSession, path: str, schema: str = EXAMPLE, array: bool = True) -> DataFrame:
     """Token/tag examples from a JSON array (one file, one document) or from JSON lines (splittable)."""
     return spark.read.schema(schema).option("multiLine", array).json(path)
