@@ -7,9 +7,8 @@ tables below the folder that ``spark.checkpoint.dir`` names, which driver and ex
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
@@ -22,7 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; bounds what a Python worker receives at once when texts are long.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
+#: Spark's settings: most bytes in a batch; whether a plan's shuffle files go when it has ended.
+MOST_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
@@ -30,11 +32,16 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    size = re.sub(r"b$", "", spark.conf.get(MOST_BYTES))
+    if not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:
+        spark.conf.set(MOST_BYTES, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only in a single local JVM (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = getattr(spark, "_maskloom_dir", None)
         if not found:
@@ -61,19 +68,18 @@ class Scratch:
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def write(self, df: DataFrame, name: str, **options: Any) -> DataFrame:
+        """The table, written and read again; shuffle files of its plan go as soon as it is written."""
         path = f"{self.root}/{name}"
-        df.write.options(**options).parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        self.sweep()
-        return out
-
-    def sweep(self) -> None:
-        """Let Spark's cleaner remove shuffle files of plans that ended: once for Python's handles, once for what they held."""
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.4)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -1,7 +1,7 @@
 """Language identification: script ranges, then Viterbi over the scores of words with a penalty for switching.
 
 Learning counts hashed character trigrams (with word edges) and letters by script for each language, over a sample of
-at most SAMPLE labelled texts chosen by hash; whole texts, summed in Spark. A language is a candidate for a word only
+about SAMPLE labelled texts chosen by hash; whole texts, summed in Spark. A language is a candidate for a word only
 if it has a share of the word's script. A word's score for a language is the sum of its trigrams' log probabilities, less the
 best language's. The best path through the languages, with PENALTY for each change, labels every word; the language with most
 letters in words that are evidence is the text's, their share of all letters is the score. Viterbi runs over pieces of PIECE words at once, joined by their max-plus products,
@@ -91,11 +91,11 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, sample: int = SAMPLE) -> Model:
     """The model of labelled rows; ``key`` (an expression) decides by hash which rows are in the sample."""
     prepare(docs.sparkSession)
-    key = F.xxhash64("doc_id") if key is None else key
+    key = F.xxhash64("doc_id", text_col) if key is None else key
     labelled = docs.where(F.col(lang_col).isNotNull())
     n = labelled.select(lang_col).count()
     if n > sample:
-        labelled = labelled.where(F.pmod(key, F.lit(1_000_000)) < int(1_000_000 * sample / n))
+        labelled = labelled.where(F.shiftrightunsigned(key, 1) <= (sample << 63) // n)  # of 63 bits: also right where n is billions of times the sample
     rows = labelled.where(F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,8 @@ in at most d = |A| * (1 - t) / t shingles. The join runs in these steps:
 2. Filing: an entry's shingles are dealt by hash into d + 1 + slack parts. Of a pair, at least slack + 1 parts are equal, so both
    meet in a file for an equal part. Parts are counted for the smaller set of a pair, so an entry files itself once for
    each step of a ladder of d that a partner may stand on. Empty parts are no files, unless an entry has more than ``slack`` of them.
-3. R-tree: in each file, entries are points, the counts of their shingles in GROUPS hash groups. A packed R-tree is searched for
+3. R-tree: in each file, entries are points, the counts of their shingles in GROUPS hash groups, twice as many for each doubling beyond
+   GROUPS * PER shingles; sizes that may be partners are searched together. A packed R-tree is searched for
    each point; the sum of coordinate minima bounds the overlap from above, for boxes by their upper corners. Points whose bound
    reaches the overlap that the threshold needs become candidate clusters (a union of trees, not of all pairs).
 4. Verification: each cluster's shingle sets meet once; a second R-tree gives the pairs, and shingles are counted for pairs that
@@ -20,25 +21,27 @@ a third of all rows costs one row a block.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; texts with fewer words than a shingle
 have one, the whole sequence; rows with equal ids are rows of their own; null ids are no component's smallest id unless all are null.
-Shingles are compared by 64-bit hashes.
+Shingles are compared by 64-bit hashes, whole sets by 128 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, from_ipc, mix64, nothing_kept, pack_blocks, packed, prepare, range_hashes, shuffle_partitions, texts_of, unpacked
 
-BLOCK_BYTES, GROUPS, FANOUT, PIVOTS, UNIT, FILE = 4_000_000, 256, 16, 16, 4_000_000, 20_000
+BLOCK_BYTES, GROUPS, PER, STEPS, FANOUT, PIVOTS, UNIT, FILE = 4_000_000, 256, 8, 10, 16, 16, 4_000_000, 20_000
 #: A count of FULL or more is kept as FULL and bounds nothing: it stands for any number.
 FULL, ANY = 255, 1 << 24
-WORD_BASE = np.uint64(0x9E3779B97F4A7C15)
+WORD_BASE, SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 SPACES = np.zeros(256, bool)
 SPACES[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -78,12 +81,14 @@ def shingle_sets(data: np.ndarray, starts: np.ndarray, words: int) -> tuple[np.n
 
 
 def fingerprints(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A hash of each set; 0 for the empty one."""
-    total = np.zeros(len(sets) + 1, np.uint64)
-    np.cumsum(mix64(sets + WORD_BASE), out=total[1:], dtype=np.uint64)
+    """128 bits that name each set, as two numbers; 0 for the empty one."""
     size = np.diff(at).astype(np.uint64)
-    h = mix64(total[at[1:]] - total[at[:-1]] + mix64(size)) | np.uint64(1)
-    return np.where(size > 0, h, np.uint64(0))
+    out = np.zeros((len(size), 2), np.uint64)
+    for k, salt in enumerate((WORD_BASE, SECOND)):
+        total = np.zeros(len(sets) + 1, np.uint64)
+        np.cumsum(mix64(sets + salt), out=total[1:], dtype=np.uint64)
+        out[:, k] = np.where(size > 0, mix64(total[at[1:]] - total[at[:-1]] + mix64(size + salt)) | np.uint64(1), np.uint64(0))
+    return out
 
 
 class Law:
@@ -145,30 +150,53 @@ def files(sets: np.ndarray, at: np.ndarray, law: Law) -> tuple[np.ndarray, np.nd
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def counts(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The point of each entry: how many of its shingles fall into each hash group."""
-    size = np.diff(at)
-    group = (sets >> np.uint64(56)).astype(np.int64)
-    return np.bincount(np.repeat(np.arange(len(size)), size) * GROUPS + group, minlength=len(size) * GROUPS).reshape(-1, GROUPS)
+def step_of(size: np.ndarray) -> np.ndarray:
+    """How often the groups are doubled for a set of this size, so that a group has PER shingles at most on average."""
+    return np.clip(np.ceil(np.log2(np.maximum(size, 1) / (GROUPS * PER))), 0, STEPS).astype(np.int64)
 
 
-def to_bytes(point: np.ndarray) -> bytes:
-    return np.minimum(point, FULL).astype(np.uint8).tobytes()
+def counts(own: np.ndarray) -> bytes:
+    """The point of a set: how many of its shingles fall into each hash group, FULL at most."""
+    step = int(step_of(np.array([len(own)]))[0])
+    group = (own >> np.uint64(56 - step)).astype(np.int64)
+    return np.minimum(np.bincount(group, minlength=GROUPS << step), FULL).astype(np.uint8).tobytes()
 
 
-def from_bytes(points: list[bytes]) -> np.ndarray:
-    out = np.frombuffer(b"".join(points), np.uint8).reshape(-1, GROUPS).astype(np.int32)
-    out[out == FULL] = ANY
+def from_bytes(points: list[bytes], step: int) -> np.ndarray:
+    """Points of this step or finer ones, as vectors of this step: neighbouring groups are summed."""
+    if all(len(x) == GROUPS << step for x in points):
+        out = np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1).astype(np.int32)
+        out[out == FULL] = ANY
+        return out
+    out = np.empty((len(points), GROUPS << step), np.int32)
+    for k, x in enumerate(points):
+        fine = np.frombuffer(x, np.uint8).astype(np.int64)
+        fine[fine == FULL] = ANY
+        out[k] = np.minimum(fine.reshape(GROUPS << step, -1).sum(axis=1), ANY)
     return out
 
 
+def by_size(points: list[bytes], sizes: np.ndarray, law: Law, links: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Star edges of what ``links`` (numbers, points, sizes) connects, each step of sizes with those that its partners may have."""
+    step, a_out, b_out = step_of(sizes), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    reach = math.ceil(math.log2(100 / law.percent) - 1e-9)
+    for s in np.unique(step).tolist():
+        own = np.flatnonzero((step >= s) & (step <= s + reach))
+        if len(own) > 1:
+            root = links(own, from_bytes([points[k] for k in own.tolist()], s), sizes[own])
+            away = np.flatnonzero(root != np.arange(len(own)))
+            a_out.append(own[root[away]])
+            b_out.append(own[away])
+    return np.concatenate(a_out), np.concatenate(b_out)
+
+
 class RTree:
     """A packed R-tree over count vectors; boxes keep the largest and smallest size and each group's largest count."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         self.points, self.sizes = points, sizes
         lead = points[:, np.argsort(-points.var(axis=0))[:2]] if len(points) else points[:, :2]
-        self.order = np.lexsort((lead[:, 1], lead[:, 0], sizes))
+        self.order = np.lexsort((lead[:, 1], lead[:, 0], sizes))  # neighbours in size and in the two most telling groups share a node
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         top, low, high = points[self.order], sizes[self.order], sizes[self.order]
         while True:
@@ -245,6 +273,27 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _named(mark: np.ndarray) -> pa.Array:
+    """128-bit names as binary values."""
+    return pa.Array.from_buffers(pa.binary(16), len(mark), [None, pa.py_buffer(np.ascontiguousarray(mark))]).cast(pa.binary())
+
+
+def _marks(column: Any) -> np.ndarray:
+    """Names as two numbers each."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    column = column.cast(pa.binary(16))
+    return np.frombuffer(column.buffers()[1], np.uint64, 2 * len(column), 16 * column.offset).reshape(-1, 2) if len(column) else np.zeros((0, 2), np.uint64)
+
+
+def _first(mark: np.ndarray, *before: np.ndarray) -> np.ndarray:
+    """Numbers of the first of each distinct name (below equal values of ``before``), in order."""
+    order = np.lexsort((mark[:, 1], mark[:, 0], *before[::-1]))
+    keys = [x[order] for x in (*before, mark[:, 0], mark[:, 1])]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in keys]) if len(order) > 1 else new[1:]
+    return order[new]
+
+
 def _rows(words: int, id_col: str, text_col: str) -> Any:
     """Of each row: its place, id, number of shingles and entry."""
 
@@ -253,7 +302,7 @@ def _rows(words: int, id_col: str, text_col: str) -> Any:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table, _, at, mark = _sets(payload.as_buffer(), text_col, words)
                 n = len(mark)
-                columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column(id_col).combine_chunks().cast(pa.int64()), pa.array(np.diff(at)), pa.array(_signed(mark), mask=mark == 0)]
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column(id_col).combine_chunks().cast(pa.int64()), pa.array(np.diff(at)), pc.if_else(pa.array(mark[:, 0] != 0), _named(mark), pa.scalar(None, pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, ["block_id", "row", "doc_id", "n", "entry"])
 
     return run
@@ -267,8 +316,8 @@ def _reports(buckets: int, words: int, percent: int, text_col: str) -> Any:
         for batch in batches:
             for payload in batch.column(1):
                 _, sets, at, mark = _sets(payload.as_buffer(), text_col, words)
-                own, first = np.unique(mark, return_index=True)
-                first = first[own != 0]
+                first = _first(mark)
+                first = first[mark[first, 0] != 0]
                 if not len(first):
                     continue
                 size = np.diff(at)[first]
@@ -281,7 +330,7 @@ def _reports(buckets: int, words: int, percent: int, text_col: str) -> Any:
                 bucket = _bucket(key, buckets)
                 key >>= np.uint64(16)
                 edge = [*_bounds(bucket).tolist(), len(key)]
-                rows = [(int(bucket[a]), b - a, packed(np.diff(key[a:b], prepend=np.uint64(0))), packed(mark[first][owner[a:b]])) for a, b in zip(edge, edge[1:], strict=False)]
+                rows = [(int(bucket[a]), b - a, packed(np.diff(key[a:b], prepend=np.uint64(0))), packed(mark[first][owner[a:b]].T.ravel())) for a, b in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "owners"])
 
     return run
@@ -291,22 +340,20 @@ def _filed(table: pa.Table) -> pa.Table:
     """Of one bucket: files with two entries or more, each member list once."""
     n = table.column("n").to_pylist()
     key = np.concatenate([np.cumsum(unpacked(x, k, np.uint64), dtype=np.uint64) for x, k in zip(table.column("keys").to_pylist(), n, strict=True)])
-    owner = np.concatenate([unpacked(x, k, np.uint64) for x, k in zip(table.column("owners").to_pylist(), n, strict=True)])
-    order = np.lexsort((owner, key))
+    owner = np.concatenate([unpacked(x, 2 * k, np.uint64).reshape(2, -1).T for x, k in zip(table.column("owners").to_pylist(), n, strict=True)])
+    order = _first(owner, key)
     key, owner = key[order], owner[order]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
-    key, owner = key[new], owner[new]
     at = _bounds(key)
     size = np.diff(np.append(at, len(key)))
     total = np.zeros(len(key) + 1, np.uint64)
-    np.cumsum(mix64(owner), out=total[1:], dtype=np.uint64)
+    np.cumsum(mix64(owner[:, 0] ^ mix64(owner[:, 1])), out=total[1:], dtype=np.uint64)
     name = mix64(total[at + size] - total[at] + size.astype(np.uint64))
-    several = size > 1
-    _, one = np.unique(name[several], return_index=True)
-    at, size, name = at[several][one], size[several][one], name[several][one]
+    several = np.flatnonzero(size > 1)
+    one = several[_first(owner[at[several]], name[several], size[several])]  # equal lists have equal names, sizes and first members
+    at, size, name = at[one], size[one], name[one]
     ends = np.cumsum(size)
     rows = np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-    return pa.table({"file": pa.array(np.repeat(_signed(name), size)), "entry": pa.array(_signed(owner[rows])), "members": pa.array(np.repeat(size, size))})
+    return pa.table({"file": pa.array(np.repeat(_signed(name), size)), "entry": _named(owner[rows]), "members": pa.array(np.repeat(size, size))})
 
 
 def _points(words: int, text_col: str) -> Any:
@@ -319,8 +366,7 @@ def _points(words: int, text_col: str) -> Any:
                 rows = np.array(sorted(set(rows)), np.int64)
                 size = np.diff(at)[rows]
                 own = [sets[at[r] : at[r + 1]] for r in rows.tolist()]
-                point = counts(np.concatenate(own), np.concatenate([[0], np.cumsum(size)]))
-                yield pa.RecordBatch.from_arrays([pa.array(_signed(mark[rows])), pa.array(size), pa.array(list(map(to_bytes, point)), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["entry", "n", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([_named(mark[rows]), pa.array(size), pa.array(list(map(counts, own)), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["entry", "n", "point", "shingles"])
 
     return run
 
@@ -328,23 +374,17 @@ def _points(words: int, text_col: str) -> Any:
 def _candidates(percent: int) -> Any:
     def run(table: pa.Table) -> pa.Table:
         """Of one bin of files: star edges of what the bound connects in each file."""
-        file, entry, size = (table.column(x).to_numpy() for x in ("file", "entry", "n"))
-        point = from_bytes(table.column("point").to_pylist())
+        file, size, mark, point = table.column("file").to_numpy(), table.column("n").to_numpy(), _marks(table.column("entry")), table.column("point").to_pylist()
         law = Law(percent)
-        order = np.lexsort((entry, file))
+        order = np.lexsort((mark[:, 1], mark[:, 0], file))
         edge = [*_bounds(file[order]).tolist(), len(order)]
         a_out, b_out = [], []
         for a, b in zip(edge, edge[1:], strict=False):
             own = order[a:b]
-            if len(own) == 2:
-                fits = np.minimum(point[own[0]], point[own[1]]).sum() >= law.need(int(size[own[0]]), int(size[own[1]]))
-                root = np.array([0, 0 if fits else 1])
-            else:
-                root = bounded_links(point[own], size[own], law)
-            away = np.flatnonzero(root != np.arange(len(own)))
-            a_out.append(entry[own[root[away]]])
-            b_out.append(entry[own[away]])
-        return pa.table({"a": pa.array(np.concatenate(a_out), pa.int64()), "b": pa.array(np.concatenate(b_out), pa.int64())})
+            x, y = by_size([point[k] for k in own.tolist()], size[own], law, lambda _, points, sizes: bounded_links(points, sizes, law))
+            a_out.append(own[x])
+            b_out.append(own[y])
+        return pa.table({"a": _named(mark[np.concatenate(a_out)]), "b": _named(mark[np.concatenate(b_out)])})
 
     return run
 
@@ -353,25 +393,23 @@ def _verify(percent: int) -> Any:
     def run(table: pa.Table) -> pa.Table:
         """Of one bin: star edges of the verified components of each cluster's tile."""
         law = Law(percent)
-        unit, tile, entry, size, pivot = (table.column(x).to_numpy() for x in ("unit", "tile", "entry", "n", "pivot"))
-        point = from_bytes(table.column("point").to_pylist())
+        tile, size, pivot = (table.column(x).to_numpy() for x in ("tile", "n", "pivot"))
+        unit, mark, point = _marks(table.column("unit")), _marks(table.column("entry")), table.column("point").to_pylist()
         blobs = table.column("shingles").combine_chunks()
-        order = np.lexsort((entry, ~pivot.astype(bool), tile, unit))
-        new = np.concatenate([[True], (unit[order[1:]] != unit[order[:-1]]) | (tile[order[1:]] != tile[order[:-1]])])
+        order = np.lexsort((mark[:, 1], mark[:, 0], ~pivot.astype(bool), tile, unit[:, 1], unit[:, 0]))
+        new = np.concatenate([[True], (unit[order[1:]] != unit[order[:-1]]).any(axis=1) | (tile[order[1:]] != tile[order[:-1]])])
         edge = [*np.flatnonzero(new).tolist(), len(order)]
         a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(edge, edge[1:], strict=False):
             own = order[a:b]
-            _, one = np.unique(entry[own], return_index=True)
-            own = own[np.sort(one)]
+            own = own[np.sort(_first(mark[own]))]  # pivots come first
             if len(own) < 2:
                 continue
             sets = [np.frombuffer(blobs[int(k)].as_buffer(), np.uint64) for k in own]
-            root = verified_links(sets, point[own], size[own], law)
-            away = np.flatnonzero(root != np.arange(len(own)))
-            a_out.append(entry[own[root[away]]])
-            b_out.append(entry[own[away]])
-        return pa.table({"a": pa.array(np.concatenate(a_out)), "b": pa.array(np.concatenate(b_out))})
+            x, y = by_size([point[k] for k in own.tolist()], size[own], law, lambda some, points, sizes, sets=sets: verified_links([sets[k] for k in some.tolist()], points, sizes, law))
+            a_out.append(own[x])
+            b_out.append(own[y])
+        return pa.table({"a": _named(mark[np.concatenate(a_out)]), "b": _named(mark[np.concatenate(b_out)])})
 
     return run
 
@@ -405,35 +443,35 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def _fetch(blocks: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
     """entry, n, point, shingles of wanted (block_id, row)."""
     rows = wanted.groupBy("block_id").agg(F.collect_list("row").alias("rows"))
-    return blocks.join(rows, "block_id").mapInArrow(_points(words, text_col), "entry bigint, n bigint, point binary, shingles binary")
+    return blocks.join(rows, "block_id").mapInArrow(_points(words, text_col), "entry binary, n bigint, point binary, shingles binary")
 
 
-def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, unit: int = UNIT) -> tuple[DataFrame, DataFrame, Scratch]:
+def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, unit: int = UNIT, file: int = FILE) -> tuple[DataFrame, DataFrame, Scratch]:
     """Rows (block_id, row, doc_id, n, entry, root, component_id), the blocks that they point into, and the tables behind both."""
     spark = docs.sparkSession
     prepare(spark)
     scratch = Scratch(spark)
     blocks = scratch.write(pack_blocks(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, block_bytes), "blocks", maxRecordsPerFile=16, compression="uncompressed")
     buckets = 4 * max(shuffle_partitions(spark), blocks.count() // 8)
-    rows = scratch.write(blocks.mapInArrow(_rows(words, id_col, text_col), "block_id bigint, row int, doc_id bigint, n bigint, entry bigint"), "rows")
+    rows = scratch.write(blocks.mapInArrow(_rows(words, id_col, text_col), "block_id bigint, row int, doc_id bigint, n bigint, entry binary"), "rows")
     reports = blocks.mapInArrow(_reports(buckets, words, percent, text_col), "bucket bigint, n bigint, keys binary, owners binary")
-    filed = scratch.write(reports.groupBy("bucket").applyInArrow(_filed, "file bigint, entry bigint, members bigint").distinct(), "filed")
+    filed = scratch.write(reports.groupBy("bucket").applyInArrow(_filed, "file bigint, entry binary, members bigint").distinct(), "filed")
     # One row of each entry that lies in a file with another.
     place = rows.where("entry is not null").groupBy("entry").agg(F.min(F.struct("block_id", "row")).alias("p")).select("entry", "p.block_id", "p.row")
     place = place.join(filed.select("entry").distinct(), "entry", "left_semi")
     sets = scratch.write(_fetch(blocks, place, words, text_col), "sets", compression="uncompressed")
     points = sets.select("entry", "n", "point")
-    small = filed.where(F.col("members") <= FILE).join(points, "entry").withColumn("bin", F.pmod(F.xxhash64("file"), F.lit(buckets)))
-    bound = small.groupBy("bin").applyInArrow(_candidates(percent), "a bigint, b bigint")
-    # A file beyond FILE entries is a candidate cluster as a whole; its verification is dealt into tiles.
-    large = filed.where(F.col("members") > FILE)
+    small = filed.where(F.col("members") <= file).join(points, "entry").withColumn("bin", F.pmod(F.xxhash64("file"), F.lit(buckets)))
+    bound = small.groupBy("bin").applyInArrow(_candidates(percent), "a binary, b binary")
+    # A file beyond ``file`` entries is a candidate cluster as a whole; its verification is dealt into tiles.
+    large = filed.where(F.col("members") > file)
     hubs = large.groupBy("file").agg(F.min("entry").alias("a"))
     clusters = components(bound.unionByName(large.join(hubs, "file").select("a", F.col("entry").alias("b"))), scratch, "clusters")
     sized = scratch.write(clusters.join(points.select("entry", "n"), "entry"), "sized")
     totals = sized.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("m"))
     members = sized.join(totals, "root").withColumn("tiles", F.ceil(F.col("total") / unit).cast("bigint")).withColumn("tile", F.pmod(F.xxhash64("entry"), F.col("tiles")))
     members = scratch.write(members.select(F.col("root").alias("unit"), "entry", "tile", "tiles"), "members")
-    kind = "a bigint, b bigint"
+    kind = "a binary, b binary"
 
     def solve(parts: DataFrame) -> DataFrame:
         binned = parts.join(sets, "entry").withColumn("bin", F.pmod(F.xxhash64("unit", "tile"), F.lit(buckets)))

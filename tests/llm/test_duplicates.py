@@ -140,6 +140,53 @@ def test_tiles_lose_no_link(spark):
     assert linked(spark, rows, 2, 80, unit=400) == components(rows, 2, 80)
 
 
+def test_large_files_lose_no_link(spark):
+    """Files beyond the bound's size become clusters whole; the result is the same, in units and in tiles."""
+    r = random.Random(10)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, edited(r, base, r.randrange(0, 4))) for k in range(50)] + [(100 + k, edited(r, [f"v{k % 3}{j}" for j in range(20)], 1)) for k in range(30)]
+    want = components(rows, 2, 80)
+    assert linked(spark, rows, 2, 80, file=2) == want and linked(spark, rows, 2, 80, file=2, unit=400) == want
+
+
+def test_points_of_all_sizes():
+    """Sets of sizes on several steps: what the bound and the count connect is what counting all pairs connects; unrelated long sets are no candidates."""
+    r = np.random.default_rng(4)
+    law = rtree.Law(80)
+    sets = []
+    for n in (100, 1900, 2500, 5000, 9000, 30_000):
+        base = r.integers(0, 2**63, n, dtype=np.uint64)
+        for k in range(6):
+            own = base.copy()
+            cut = r.integers(0, n, n * k // 15)
+            own[cut] = r.integers(0, 2**63, len(cut), dtype=np.uint64)
+            sets.append(np.unique(own[: n - n * k // 40]))
+    sets = [np.unique(rtree.mix64(s)) for s in sets]
+    sizes, points = np.array(list(map(len, sets))), list(map(rtree.counts, sets))
+    root = {k: k for k in range(len(sets))}
+    for i in range(len(sets)):
+        for j in range(i):
+            o = np.intersect1d(sets[i], sets[j]).size
+            if 100 * o >= 80 * (sizes[i] + sizes[j] - o):
+                a, b = root[i], root[j]
+                root = {k: (b if v == a else v) for k, v in root.items()}
+
+    def groups(a, b):
+        out = {k: k for k in range(len(sets))}
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = out[x], out[y]
+            out = {k: (q if v == p else v) for k, v in out.items()}
+        return {frozenset(k for k in out if out[k] == v) for v in out.values()}
+
+    want = {frozenset(k for k in root if root[k] == v) for v in root.values()}
+    verified = rtree.by_size(points, sizes, law, lambda own, p, n: rtree.verified_links([sets[k] for k in own.tolist()], p, n, law))
+    assert groups(*verified) == want and 6 <= len(want) < 36
+    bound = groups(*rtree.by_size(points, sizes, law, lambda own, p, n: rtree.bounded_links(p, n, law)))
+    assert all(any(w <= b for b in bound) for w in want)
+    apart = [np.unique(rtree.mix64(r.integers(0, 2**63, n, dtype=np.uint64))) for n in (10_000, 10_000, 30_000, 30_000, 100_000, 100_000)]
+    assert not len(rtree.by_size(list(map(rtree.counts, apart)), np.array(list(map(len, apart))), law, lambda own, p, n: rtree.bounded_links(p, n, law))[0])
+
+
 def test_rtree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(3)
     points = r.integers(0, 9, (400, rtree.GROUPS))
