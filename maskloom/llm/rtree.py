@@ -21,7 +21,8 @@ a third of all rows costs one row a block.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; texts with fewer words than a shingle
 have one, the whole sequence; rows with equal ids are rows of their own; null ids are no component's smallest id unless all are null.
-Shingles are compared by 64-bit hashes, whole sets by 128 bits.
+Shingles are compared by 64-bit hashes, whole sets by 128 bits; files list sets by the first 64 of these, and a list that two sets
+share brings both as candidates.
 """
 
 from __future__ import annotations
@@ -302,8 +303,8 @@ def _rows(words: int, id_col: str, text_col: str) -> Any:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table, _, at, mark = _sets(payload.as_buffer(), text_col, words)
                 n = len(mark)
-                columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column(id_col).combine_chunks().cast(pa.int64()), pa.array(np.diff(at)), pc.if_else(pa.array(mark[:, 0] != 0), _named(mark), pa.scalar(None, pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, ["block_id", "row", "doc_id", "n", "entry"])
+                columns = [pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), table.column(id_col).combine_chunks().cast(pa.int64()), pa.array(np.diff(at)), pc.if_else(pa.array(mark[:, 0] != 0), _named(mark), pa.scalar(None, pa.binary())), pa.array(_signed(mark[:, 0]))]
+                yield pa.RecordBatch.from_arrays(columns, ["block_id", "row", "doc_id", "n", "entry", "short"])
 
     return run
 
@@ -330,7 +331,7 @@ def _reports(buckets: int, words: int, percent: int, text_col: str) -> Any:
                 bucket = _bucket(key, buckets)
                 key >>= np.uint64(16)
                 edge = [*_bounds(bucket).tolist(), len(key)]
-                rows = [(int(bucket[a]), b - a, packed(np.diff(key[a:b], prepend=np.uint64(0))), packed(mark[first][owner[a:b]].T.ravel())) for a, b in zip(edge, edge[1:], strict=False)]
+                rows = [(int(bucket[a]), b - a, packed(np.diff(key[a:b], prepend=np.uint64(0))), packed(mark[first, 0][owner[a:b]])) for a, b in zip(edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "n", "keys", "owners"])
 
     return run
@@ -340,20 +341,22 @@ def _filed(table: pa.Table) -> pa.Table:
     """Of one bucket: files with two entries or more, each member list once."""
     n = table.column("n").to_pylist()
     key = np.concatenate([np.cumsum(unpacked(x, k, np.uint64), dtype=np.uint64) for x, k in zip(table.column("keys").to_pylist(), n, strict=True)])
-    owner = np.concatenate([unpacked(x, 2 * k, np.uint64).reshape(2, -1).T for x, k in zip(table.column("owners").to_pylist(), n, strict=True)])
-    order = _first(owner, key)
+    owner = np.concatenate([unpacked(x, k, np.uint64) for x, k in zip(table.column("owners").to_pylist(), n, strict=True)])
+    order = np.lexsort((owner, key))
     key, owner = key[order], owner[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+    key, owner = key[new], owner[new]
     at = _bounds(key)
     size = np.diff(np.append(at, len(key)))
     total = np.zeros(len(key) + 1, np.uint64)
-    np.cumsum(mix64(owner[:, 0] ^ mix64(owner[:, 1])), out=total[1:], dtype=np.uint64)
+    np.cumsum(mix64(owner), out=total[1:], dtype=np.uint64)
     name = mix64(total[at + size] - total[at] + size.astype(np.uint64))
     several = np.flatnonzero(size > 1)
-    one = several[_first(owner[at[several]], name[several], size[several])]  # equal lists have equal names, sizes and first members
+    one = several[_first(np.stack([name[several], owner[at[several]]], axis=1), size[several])]  # equal lists have equal names, sizes and first members
     at, size, name = at[one], size[one], name[one]
     ends = np.cumsum(size)
     rows = np.repeat(at - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
-    return pa.table({"file": pa.array(np.repeat(_signed(name), size)), "entry": _named(owner[rows]), "members": pa.array(np.repeat(size, size))})
+    return pa.table({"file": pa.array(np.repeat(_signed(name), size)), "short": pa.array(_signed(owner[rows])), "members": pa.array(np.repeat(size, size))})
 
 
 def _points(words: int, text_col: str) -> Any:
@@ -366,7 +369,7 @@ def _points(words: int, text_col: str) -> Any:
                 rows = np.array(sorted(set(rows)), np.int64)
                 size = np.diff(at)[rows]
                 own = [sets[at[r] : at[r + 1]] for r in rows.tolist()]
-                yield pa.RecordBatch.from_arrays([_named(mark[rows]), pa.array(size), pa.array(list(map(counts, own)), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["entry", "n", "point", "shingles"])
+                yield pa.RecordBatch.from_arrays([_named(mark[rows]), pa.array(_signed(mark[rows, 0])), pa.array(size), pa.array(list(map(counts, own)), pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())], ["entry", "short", "n", "point", "shingles"])
 
     return run
 
@@ -443,7 +446,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def _fetch(blocks: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
     """entry, n, point, shingles of wanted (block_id, row)."""
     rows = wanted.groupBy("block_id").agg(F.collect_list("row").alias("rows"))
-    return blocks.join(rows, "block_id").mapInArrow(_points(words, text_col), "entry binary, n bigint, point binary, shingles binary")
+    return blocks.hint("merge").join(rows, "block_id").mapInArrow(_points(words, text_col), "entry binary, short bigint, n bigint, point binary, shingles binary")
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, unit: int = UNIT, file: int = FILE) -> tuple[DataFrame, DataFrame, Scratch]:
@@ -453,18 +456,18 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     scratch = Scratch(spark)
     blocks = scratch.write(pack_blocks(docs.withColumn(text_col, F.col(text_col).cast("string")), text_col, block_bytes), "blocks", maxRecordsPerFile=16, compression="uncompressed")
     buckets = 4 * max(shuffle_partitions(spark), blocks.count() // 8)
-    rows = scratch.write(blocks.mapInArrow(_rows(words, id_col, text_col), "block_id bigint, row int, doc_id bigint, n bigint, entry binary"), "rows")
+    rows = scratch.write(blocks.mapInArrow(_rows(words, id_col, text_col), "block_id bigint, row int, doc_id bigint, n bigint, entry binary, short bigint"), "rows")
     reports = blocks.mapInArrow(_reports(buckets, words, percent, text_col), "bucket bigint, n bigint, keys binary, owners binary")
-    filed = scratch.write(reports.groupBy("bucket").applyInArrow(_filed, "file bigint, entry binary, members bigint").distinct(), "filed")
+    filed = scratch.write(reports.groupBy("bucket").applyInArrow(_filed, "file bigint, short bigint, members bigint").distinct(), "filed")
     # One row of each entry that lies in a file with another.
-    place = rows.where("entry is not null").groupBy("entry").agg(F.min(F.struct("block_id", "row")).alias("p")).select("entry", "p.block_id", "p.row")
-    place = place.join(filed.select("entry").distinct(), "entry", "left_semi")
+    place = rows.where("entry is not null").groupBy("entry").agg(F.min(F.struct("block_id", "row")).alias("p"), F.min("short").alias("short")).select("short", "p.block_id", "p.row")
+    place = place.join(filed.select("short").distinct(), "short", "left_semi")
     sets = scratch.write(_fetch(blocks, place, words, text_col), "sets", compression="uncompressed")
-    points = sets.select("entry", "n", "point")
-    small = filed.where(F.col("members") <= file).join(points, "entry").withColumn("bin", F.pmod(F.xxhash64("file"), F.lit(buckets)))
+    points = sets.select("entry", "short", "n", "point")
+    small = filed.where(F.col("members") <= file).join(points, "short").withColumn("bin", F.pmod(F.xxhash64("file"), F.lit(buckets)))
     bound = small.groupBy("bin").applyInArrow(_candidates(percent), "a binary, b binary")
     # A file beyond ``file`` entries is a candidate cluster as a whole; its verification is dealt into tiles.
-    large = filed.where(F.col("members") > file)
+    large = filed.where(F.col("members") > file).join(points.select("short", "entry"), "short")
     hubs = large.groupBy("file").agg(F.min("entry").alias("a"))
     clusters = components(bound.unionByName(large.join(hubs, "file").select("a", F.col("entry").alias("b"))), scratch, "clusters")
     sized = scratch.write(clusters.join(points.select("entry", "n"), "entry"), "sized")
@@ -474,7 +477,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     kind = "a binary, b binary"
 
     def solve(parts: DataFrame) -> DataFrame:
-        binned = parts.join(sets, "entry").withColumn("bin", F.pmod(F.xxhash64("unit", "tile"), F.lit(buckets)))
+        binned = parts.join(sets.drop("short"), "entry").withColumn("bin", F.pmod(F.xxhash64("unit", "tile"), F.lit(buckets)))
         return binned.groupBy("bin").applyInArrow(_verify(percent), kind)
 
     alone = members.where("tiles = 1").select("unit", "tile", "entry", F.lit(False).alias("pivot"))
@@ -495,7 +498,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_
     labels = scratch.write(labels.select("entry", "doc_id", "root"), "labels")
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = labels.join(least, "root").select("entry", "root", "component_id")
-    out = rows.join(named, "entry", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = rows.drop("short").join(named, "entry", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     scratch.drop("filed", "sets", "sized", "members")
     return out, blocks, scratch
 
