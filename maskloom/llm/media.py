@@ -2,8 +2,8 @@
 
 HTML is parsed into an ordered array of items: text, or a reference to media with its caption. A reference names its payload by digest.
 Payloads lie in a store (a written table) as grey images of 8-bit samples, 64 to a row, losslessly; reading back undoes the
-image format. An equi-join on the digest resolves references; positions and captions stay with their item. Store rows
-are distinct before the join, so a payload that a third of all documents share is one row there.
+image format. An equi-join on the digest resolves references; positions and captions stay with their item. A payload is stored
+once for each batch that has it; what is read back is distinct before the join, so a payload that a third of all documents share is one row there.
 
 Defined results: a null or empty text is one row of 64 zero samples; a null page has no items; references that the store lacks
 resolve to null; equal payloads have equal digests, stored bytes and features; an empty table gives no rows.
@@ -105,7 +105,7 @@ def sequences(pages: DataFrame, html_col: str = "html", items_col: str = "items"
 
     @F.pandas_udf(ITEM)
     def items(html: pd.Series) -> pd.Series:
-        return pd.Series([parse_items(x) for x in html])
+        return pd.Series([parse_items(x) for x in html], dtype=object)
 
     return pages.select(*kept, items(F.col(html_col).cast("string")).alias(items_col))
 
@@ -215,11 +215,19 @@ def resolve(sequenced: DataFrame, media: DataFrame, items_col: str = "items", ev
     return joined.select(F.when(F.col("_ref").startswith(SCHEME), digest).alias("digest"), *kept, "position", "caption", *(c for c in media.columns if c != "digest"))
 
 
+def document_page(text: Column, reference: Column, caption: Column) -> Column:
+    """A document as a page: its lines are paragraphs, and after the first one stands a figure."""
+    lines = F.split(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "\n", -1)
+    rest = F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "</p><p>")
+    return F.concat(F.lit("<article><p>"), F.get(lines, F.lit(0)), F.lit('</p><figure><img src="'), reference, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure><p>"), rest, F.lit("</p></article>"))
+
+
 def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document as a page with its text as media: doc_id, n_bytes and what ``read_back`` gives."""
+    """Each document as a sequence of its lines and, after the first one, its payload: doc_id, n_bytes, n_items, position, caption and what ``read_back`` gives."""
     scratch = Scratch(docs.sparkSession)
     media = read_back(scratch.write(store(docs, text_col), "media", compression="uncompressed"))
-    size = F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("bigint")
-    pages = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), size.alias("n_bytes"), digest(F.col(text_col)).alias("_d"))
-    html = F.concat(F.lit(f'<article><figure><img src="{SCHEME}'), "_d", F.lit('"><figcaption>'), F.col("n_bytes").cast("string"), F.lit(" bytes</figcaption></figure></article>"))
-    return resolve(sequences(pages.select("doc_id", "n_bytes", html.alias("html"))), media).drop("digest")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    size = F.octet_length(text).cast("bigint")
+    html = document_page(text, F.concat(F.lit(SCHEME), digest(F.col(text_col))), F.concat(size.cast("string"), F.lit(" bytes")))
+    sequenced = sequences(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), size.alias("n_bytes"), html.alias("html")))
+    return resolve(sequenced.select("doc_id", "n_bytes", F.size("items").alias("n_items"), "items"), media).drop("digest")

@@ -161,3 +161,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, id_col: str = "d
 def judge(docs: DataFrame, rules: list[list[Test]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All statistics, base_failed and kept."""
     return statistics(docs, id_col, text_col).withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+#: The rows of the base statistics in DuckDB: every window of every text as a row.
+ORACLE_SQL = r"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    w AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM d)),
+    s AS (SELECT r, i, least(8, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 8)) AS n FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM w) WHERE c > 1),
+    t AS (SELECT r, sum(n) AS n FROM s GROUP BY r),
+    f AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN t ON d.r = t.r)
+    SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f"""

@@ -26,12 +26,12 @@ def op3_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(documents(spark, sf_dir)).drop("matches")
+    return licenses.scan(documents(spark, sf_dir), windows=True).drop("matches")
 
 
-def op4_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4_license_scan with notices that are wrapped over lines."""
-    return licenses.scan(documents(spark, sf_dir), windows=True).drop("matches")
+def license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license scan with single lines as blocks, which SQL can count."""
+    return licenses.scan(documents(spark, sf_dir)).drop("matches")
 
 
 def op5_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,22 @@ def op10_secret_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(docs, secrets.learn(docs)).drop("n_format")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op4_license_windows, op5_bwt_dedup, op6_media_sequences, op7_count_rtree_join, op8_language_spans, op9_decision_list, op10_secret_automata)}
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": licenses.oracle_sql(), "op7_count_rtree_join": rtree.oracle_sql()}
+def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of all pages in their order."""
+    items = media.sequences(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html"))
+    return items.select("page_id", F.inline("items"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics of op9."""
+    return quality.statistics(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op10."""
+    return secrets.scan(documents(spark, sf_dir), {}).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+OPERATORS = (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op5_bwt_dedup, op6_media_sequences, op7_count_rtree_join, op8_language_spans, op9_decision_list, op10_secret_automata)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*OPERATORS, license_lines, page_sequences, quality_base, secret_base)}
+ORACLE_SQL: dict[str, str] = {"license_lines": licenses.oracle_sql(), "op7_count_rtree_join": rtree.oracle_sql(), "quality_base": quality.ORACLE_SQL, "secret_base": secrets.ORACLE_SQL}

@@ -381,3 +381,21 @@ def redact(docs: DataFrame, automata: dict[str, Automaton], text_col: str = "tex
         return pd.Series([redacted(t, all_spans(t, automata)) if t else t for t in texts], dtype=object)
 
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))
+
+
+def _oracle_sql() -> str:
+    """The base rows in DuckDB: matches and the gaps between them give the offsets."""
+    own = {"assign": ASSIGN.pattern, "access": ACCESS.pattern, "hex": HEX.pattern}
+    keep = {"assign": "length(regexp_extract(v, '{0}', 2)) >= 6", "access": "length(v) >= 20", "hex": "true"}
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    parts = []
+    for k, (kind, pattern) in enumerate(own.items()):
+        p = pattern.replace("'", "''")
+        found = f"SELECT r, m[i] AS v, CAST({total('g[1:i]')} + {total('m[1:i - 1]')} AS BIGINT) AS a FROM (SELECT r, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM d))"
+        parts.append(f"SELECT r, {k} AS k, '{kind}' AS kind, a, a + length(v) AS b FROM ({found}) WHERE {keep[kind].format(p)}")
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), s AS ({' UNION ALL '.join(parts)})
+        SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+        sha256(coalesce(string_agg(concat_ws(':', kind, a, b), ',' ORDER BY a, k) FILTER (k IS NOT NULL), '')) AS base_sha256 FROM d LEFT JOIN s ON d.r = s.r GROUP BY d.r, doc_id"""
+
+
+ORACLE_SQL = _oracle_sql()

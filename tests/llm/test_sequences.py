@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -153,7 +154,8 @@ def test_media_rows(odd, odd_rows, none, spark):
         want[x[0], len((x[1] or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
     assert len({(r.payload_sha256, r.media_bytes, r.media_sha256, r.feature) for r in rows}) == len({r.payload_sha256 for r in rows})
-    assert all(r.caption == f"{r.n_bytes} bytes" and r.position == 0 for r in rows)
+    lines = {x[0]: [bool(line.split()) for line in (x[1] or "").split("\n")] for x in odd_rows if x[0] is not None}
+    assert all(r.caption == f"{r.n_bytes} bytes" for r in rows) and all((r.position, r.n_items) == (int(lines[r.doc_id][0]), 1 + sum(lines[r.doc_id])) for r in rows if r.doc_id is not None)
     assert media.document_media(none).count() == 0
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "page_id int, html string")
     store = spark.createDataFrame([("aa", 5)], "digest string, width int")
@@ -175,3 +177,22 @@ def test_other_references_stay_unresolved(spark):
     rows = media.resolve(media.sequences(pages), media_rows, every=True).collect()
     want = [(1, 2, "first", "aa", 5), (1, 3, "A & caption", "bb", None), (1, 5, None, None, None), (2, 0, "local", None, None)]
     assert sorted(((r.page_id, r.position, r.caption, r.digest, r.payload_bytes) for r in rows), key=lambda x: x[:2]) == want
+
+
+def test_real_pages_and_documents_keep_their_words(spark):
+    """Against a plain tag stripper: all words of a page in their order; a document's items are its lines with the figure after the first one."""
+    import html
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html")
+    rows = media.sequences(pages).collect()
+    raw = {r.page_id: r.html for r in pages.collect()}
+    for r in rows:
+        plain = re.sub(r"(?is)<!--.*?-->|<(script|style|title|noscript|template)\b.*?</\1\s*>|<!doctype[^>]*>", " ", raw[r.page_id] or "")
+        plain = html.unescape(re.sub(r"</?(?:b|i|a|em|strong|span|u)\b[^>]*>", "", plain))
+        assert " ".join(x.text for x in r["items"] if x.kind == "text").split() == re.sub(r"<[^>]*>", " ", plain).split()
+        assert [x.position for x in r["items"]] == list(range(len(r["items"])))
+    text = "a < b & c\n\n  <img src=x> \n&amp; é"
+    page = spark.createDataFrame([(1, text)], "doc_id int, text string").select("doc_id", media.document_page(F.col("text"), F.lit("sha256:aa"), F.lit("cap")).alias("html"))
+    items = media.sequences(page).first()["items"]
+    assert [(x.kind, x.text, x.ref, x.caption) for x in items] == [("text", "a < b & c", None, None), ("image", None, "sha256:aa", "cap"), ("text", "<img src=x>", None, None), ("text", "&amp; é", None, None)]
