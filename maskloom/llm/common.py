@@ -237,3 +237,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_or_empty(column: str) -> Any:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: DuckDB SQL: the checksum's change by each byte, and with it the checksum of the bytes that a hex string gives.
+CRC_RULE = "SELECT list_transform(range(256), lambda x: list_reduce(list_concat([x], range(8)), lambda c, j: xor(c >> 1, (c & 1) * 3988292384))) AS steps"
+
+
+def crc32_sql(hexed: str) -> str:
+    """CRC-32 in DuckDB, next to a table of CRC_RULE."""
+    codes = f"list_transform(regexp_extract_all({hexed}, '..'), lambda x: ('0x' || x)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295)"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, prepare
+from .common import CRC_RULE, Scratch, crc32_sql, prepare
 
 ROW = 64
 SCHEME = "sha256:"
@@ -231,3 +231,10 @@ def document_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     html = document_page(text, F.concat(F.lit(SCHEME), digest(F.col(text_col))), F.concat(size.cast("string"), F.lit(" bytes")))
     sequenced = sequences(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), size.alias("n_bytes"), html.alias("html")))
     return resolve(sequenced.select("doc_id", "n_bytes", F.size("items").alias("n_items"), "items"), media).drop("digest")
+
+
+#: What a stored payload must give back, in DuckDB; stored forms and features are held against plain versions in tests.
+ORACLE_SQL = f"""SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(length(padded) // 2 AS BIGINT) AS payload_bytes, sha256(unhex(padded)) AS payload_sha256,
+    CAST({crc32_sql(f"right(padded, {2 * ROW})")} AS BIGINT) AS tail_crc32
+    FROM (SELECT doc_id, h, h || repeat('00', CASE WHEN h = '' THEN {ROW} ELSE ({ROW} - length(h) // 2 % {ROW}) % {ROW} END) AS padded
+    FROM (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)), ({CRC_RULE})"""

@@ -71,6 +71,11 @@ def page_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("page_id", F.inline("items"))
 
 
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that do not depend on the stored form."""
+    return media.document_media(documents(spark, sf_dir)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
+
+
 def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base statistics of op9."""
     return quality.statistics(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -82,5 +87,8 @@ def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OPERATORS = (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op5_bwt_dedup, op6_media_sequences, op7_count_rtree_join, op8_language_spans, op9_decision_list, op10_secret_automata)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*OPERATORS, license_lines, page_sequences, quality_base, secret_base)}
-ORACLE_SQL: dict[str, str] = {"license_lines": licenses.oracle_sql(), "op7_count_rtree_join": rtree.oracle_sql(), "quality_base": quality.ORACLE_SQL, "secret_base": secrets.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*OPERATORS, license_lines, media_payloads, page_sequences, quality_base, secret_base)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_feistel_sharding": sharding.oracle_sql(), "op5_bwt_dedup": suffix.ORACLE_SQL, "op7_count_rtree_join": rtree.oracle_sql(),
+    "license_lines": licenses.oracle_sql(), "media_payloads": media.ORACLE_SQL, "quality_base": quality.ORACLE_SQL, "secret_base": secrets.ORACLE_SQL,
+}

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mix64, prepare, shuffle_partitions
+from .common import CRC_RULE, crc32_sql, mix64, prepare, shuffle_partitions
 
 ROUNDS = 6
 #: Rows that one range of ids holds at most, about; the number of ranges grows with the table.
@@ -108,3 +108,29 @@ def shard(docs: DataFrame, shards: int = 24, seed: int = 20, id_col: str = "doc_
         "doc_id", "size", "text_crc32", F.col("_p.row_number").alias("row_number"), F.col("_p.position").alias("position"), F.lit("rows").alias("law"),
         (F.col("_p.position") % shards).cast("int").alias("shard"), F.floor(F.col("_p.position") / shards).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def oracle_sql(shards: int = 24, seed: int = 20) -> str:
+    """The rows of ``shard`` in DuckDB: checksums by bytes, the network in wide integers, cycle walking as a recursion."""
+    wide = f"{1 << 64}::UHUGEINT"
+
+    def let(value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def mix(x: str) -> str:
+        last = let(f"(xor(y, y >> 27) * {0x94D049BB133111EB}::UHUGEINT) % {wide}", "z", "xor(z, z >> 31)")
+        return let(x, "x", let(f"(xor(x, x >> 30) * {0xBF58476D1CE4E5B9}::UHUGEINT) % {wide}", "y", last))
+
+    key = mix(f"(i::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + {seed}::UHUGEINT) % {wide}")
+    turn = mix(f"(s.b + k.a) % {wide}")
+    halves = f"list_reduce(list_concat([{{'a': p >> bits, 'b': p & low}}], keys), lambda s, k: {{'a': s.b, 'b': xor(s.a, {turn} & low)}})"
+    return f"""WITH RECURSIVE rule AS ({CRC_RULE}),
+    sized AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 8 AS size, coalesce({crc32_sql("hex(encode(text))")}, 0) AS text_crc32 FROM documents, rule),
+    numbered AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM sized),
+    law AS (SELECT n, bits, ((1::UHUGEINT << bits) - 1::UHUGEINT) AS low, list_transform(range(1, {ROUNDS + 1}), lambda i: {{'a': {key}, 'b': 0::UHUGEINT}}) AS keys
+        FROM (SELECT n, greatest(1, (length(bin(greatest(1, n - 1))) + 1) // 2)::UHUGEINT AS bits FROM (SELECT count(*) AS n FROM documents))),
+    walk AS (SELECT row_number AS r, row_number::UHUGEINT AS p, 0 AS walked FROM numbered
+        UNION ALL SELECT r, {let(halves, "s", "(s.a << bits) | s.b")}, walked + 1 FROM walk, law WHERE walked = 0 OR p >= n),
+    placed AS (SELECT r AS row_number, p::BIGINT AS position FROM walk, law WHERE walked > 0 AND p < n)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, CAST(row_number AS BIGINT) AS row_number, position, 'rows' AS law,
+        CAST(position % {shards} AS INTEGER) AS shard, CAST(position // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM numbered JOIN placed USING (row_number)"""

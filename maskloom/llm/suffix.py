@@ -437,3 +437,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = spark.createDataFrame([], kind).schema if isinstance(kind, str) else kind
     names = ["kept_text"] if texts else kind.names
     return blocks.join(runs, "block_id", "left").mapInArrow(_removed(id_col, text_col, names, to_arrow_schema(kind)), kind)
+
+
+#: The rows of ``remove_repeats`` in DuckDB: every 50-byte string with the smallest doc_id that has it, in hex, cut out of pieces of 200 bytes.
+ORACLE_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    pieces AS (SELECT doc_id, k, substr(h, 400 * k + 1, 498) AS p FROM d, range(0, length(h) // 400 + 1) AS r(k)),
+    strings AS (SELECT doc_id, 200 * k + i AS pos, substr(p, 2 * i + 1, 100) AS s FROM pieces, range(0, least(200, length(p) // 2 - 49)) AS r(i)),
+    firsts AS (SELECT s, min(doc_id) AS first_id FROM strings GROUP BY s),
+    hits AS (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS earlier FROM strings JOIN firsts USING (s) WHERE first_id < doc_id),
+    cut AS (SELECT doc_id, sum(least(50, pos - coalesce(earlier, -50))) AS removed, count(*) FILTER (earlier IS NULL OR pos - earlier > 50) AS spans,
+        list({'a': coalesce(earlier + 50, 0), 'b': pos} ORDER BY pos) FILTER (earlier IS NULL OR pos - earlier > 50) AS gaps, max(pos) + 50 AS rest FROM hits GROUP BY doc_id)
+    SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+        sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE array_to_string(list_transform(gaps, lambda g: substr(h, 2 * g.a + 1, 2 * (g.b - g.a))), '') || substr(h, 2 * rest + 1) END)) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id)"""
