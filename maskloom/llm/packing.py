@@ -7,8 +7,8 @@ The counts are rounded down and limited to what is there; what is left is packed
 sequence with least room that takes it.
 
 This is solved for groups of about GROUP_TOKENS tokens within a task, whose histograms are alike, so there is no
-shuffle, memory is bounded, and a lost task is repeated alone. Every sequence is padded to the window except the last
-one of a group, which may be padded to a smaller power of two.
+shuffle, memory is bounded, and a lost task is repeated alone. Every sequence is padded to the window, except one that
+fills half of it or less, which is padded to the next power of two.
 
 Defined results: a null or empty text is the end id alone; a text longer than a window is cut at its multiples; repeated
 rows are packed each; an empty table gives no rows; ids of null documents are null.
@@ -127,7 +127,11 @@ def combinations(units: int, depth: int) -> tuple[tuple[int, ...], ...]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int) -> np.ndarray:
-    """Non-negative least squares by the active-set method of Lawson and Hanson, on normal equations."""
+    """Non-negative least squares by the active-set method of Lawson and Hanson, on normal equations.
+
+    It ends when no column would lower the residual, or after ``rounds`` columns have come in: what it has by then is a
+    valid start, and what a plan leaves over is packed greedily. With histograms of several shapes it ends before (tests).
+    """
     gram, target = a.T @ a, a.T @ b
     x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     for _ in range(rounds):

@@ -49,6 +49,18 @@ def test_nnls():
     assert len(packing.combinations(16, 3)) == len(set(packing.combinations(16, 3))) == sum(1 for a in range(1, 17) for b in range(a, 17) for c in range(b, 17) if a + b + c == 16) + 8 + 1
 
 
+@pytest.mark.parametrize("shape", ["even", "short", "one", "sparse"])
+def test_nnls_ends_at_the_least_residual(shape):
+    """With the production matrix and number of rounds: no column that is out would lower the residual, those that are in leave no slope."""
+    r = np.random.default_rng(6)
+    a = packing._matrix(packing.UNITS, packing.DEPTH)
+    draw = {"even": r.integers(0, 300, packing.UNITS), "short": 2000 * np.exp(-np.arange(packing.UNITS) / 9), "one": np.eye(packing.UNITS)[40] * 5000, "sparse": r.integers(0, 300, packing.UNITS) * (r.random(packing.UNITS) < 0.1)}
+    b = draw[shape].astype(float).round()
+    x = packing.nnls(a, b, 2 * packing.UNITS)
+    slope = a.T @ (b - a @ x)
+    assert (x >= 0).all() and slope.max() <= 1e-6 * max(1.0, b.max()) and np.abs(slope[x > 0]).max(initial=0) <= 1e-6 * max(1.0, b.max())
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 256), max_size=300))
 def test_plan(lengths):
