@@ -156,3 +156,23 @@ def oracle_sql(templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, s
         FROM (SELECT doc_id, ws, list_concat({every}) AS places, {base} AS base, list_filter([{', '.join(shares)}], lambda m: m.score >= m.need) AS found
         FROM (SELECT doc_id, ws, {places}, list_transform(string_split(low, chr(10)), lambda l: list_distinct({words('l')})) AS ls
         FROM (SELECT doc_id, low, {words('low')} AS ws FROM (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents))))"""
+
+
+def windows_sql(templates: dict[str, list[str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> str:
+    """The rows of ``scan`` with ``windows``: to those of lines come the distinct template words from each place of one on, as far as a window goes."""
+    rows = []
+    for label, texts in templates.items():
+        for t in texts:
+            own = sorted(set(t.split()))
+            rows += [f"('{label}', {len(rows)}, {len(own)}, {math.ceil(threshold * len(own) - 1e-9)}, {SLACK * len(t.split())}, [{', '.join(repr(w) for w in own)}])"]
+    return f"""WITH lines AS ({oracle_sql(templates, phrases, threshold)}),
+    notices(label, t, size, need, width, own) AS (VALUES {', '.join(rows)}),
+    parts AS (SELECT label, t, size, need, width, unnest(own) AS w FROM notices),
+    texts AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SEPARATORS}'), lambda x: x <> '') AS ws FROM documents),
+    places AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM texts),
+    counted AS (SELECT doc_id, label, size, need, count(DISTINCT w) OVER (PARTITION BY doc_id, t ORDER BY i RANGE BETWEEN CURRENT ROW AND width - 1 FOLLOWING) AS n FROM places JOIN parts USING (w)),
+    found AS (SELECT doc_id, list(DISTINCT label) AS more, max(n / CAST(size AS DOUBLE)) AS best FROM counted WHERE n >= need GROUP BY doc_id)
+    SELECT doc_id, n_words, n_base, first_word, last_word, base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split(labels, ','), lambda x: x <> ''), coalesce(more, [])))), ',') AS labels,
+        CASE WHEN base_labels <> '' THEN 1.0E0 ELSE greatest(score, coalesce(best, 0.0E0)) END AS score
+    FROM lines LEFT JOIN found USING (doc_id)"""

@@ -89,6 +89,6 @@ def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 OPERATORS = (op1_feistel_sharding, op2_nnls_packing, op3_segment_tree_bpe, op4_license_scan, op5_bwt_dedup, op6_media_sequences, op7_count_rtree_join, op8_language_spans, op9_decision_list, op10_secret_automata)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*OPERATORS, license_lines, media_payloads, page_sequences, quality_base, secret_base)}
 ORACLE_SQL: dict[str, str] = {
-    "op1_feistel_sharding": sharding.oracle_sql(), "op5_bwt_dedup": suffix.ORACLE_SQL, "op7_count_rtree_join": rtree.oracle_sql(),
+    "op1_feistel_sharding": sharding.oracle_sql(), "op4_license_scan": licenses.windows_sql(), "op5_bwt_dedup": suffix.ORACLE_SQL, "op7_count_rtree_join": rtree.oracle_sql(),
     "license_lines": licenses.oracle_sql(), "media_payloads": media.ORACLE_SQL, "quality_base": quality.ORACLE_SQL, "secret_base": secrets.ORACLE_SQL,
 }

@@ -2,14 +2,17 @@
 
 import glob
 import os
+import re
 from collections import Counter
 
 import duckdb
 import pytest
 
-from maskloom.llm import sharding, suffix
+from maskloom.llm import licenses, sharding, suffix
 from maskloom.llm.queries import ORACLE_SQL, QUERIES
 
+from test_filters import WRAPPED
+
 DIR = "/root/testdata/sf0.001"
 
 
@@ -45,3 +48,20 @@ def test_small_tables(spark):
         con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
         assert sum(compare(sharding.shard(docs, 3, 9), con, sharding.oracle_sql(3, 9)).values()) == n
         assert sum(compare(suffix.remove_repeats(docs), con, suffix.ORACLE_SQL).values()) == n
+
+
+def test_windows_in_sql(spark):
+    """Wrapped notices, whole and with words put between, and random words of the templates."""
+    import random
+
+    r = random.Random(3)
+    vocabulary = [w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()]
+    texts = [*WRAPPED.values(), *(re.sub("\n", "\nlorem ipsum ", t) for t in WRAPPED.values()), None, "", "Cc by-nc\n4.0"]
+    texts += ["".join(r.choice(vocabulary) + r.choice([" ", " ", "\n", " x "]) for _ in range(r.randrange(0, 400))) for _ in range(20)]
+    texts += [re.sub(" ", lambda m: r.choice([" ", "\n", " q "]), r.choice(ts)) for ts in licenses.TEMPLATES.values() for _ in range(4)]
+    rows = list(enumerate(texts))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = compare(licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), windows=True).drop("matches"), con, licenses.windows_sql())
+    assert len(got) == len(rows)
